@@ -28,7 +28,7 @@ from .components import connected_components
 _EMPTY = np.uint64(2**64 - 1)
 _CHUNK = 1 << 19
 #: Counters of shingles that order the prefixes.
-_COUNTERS = 1 << 20
+_COUNTERS = 1 << 18
 #: Documents on either side of a block of comparisons.
 _BLOCK = 128
 
