@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .common import table
 from .minhash import near_duplicates
 
@@ -12,5 +13,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
-QUERIES = {"op1_minhash": op1_minhash}
+def op2_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op2_additive_quantisation": op2_additive_quantisation}
 ORACLES: dict[str, str] = {}
