@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import lines, sharding, warc
 from .ann import nearest
 from .common import table
 from .minhash import near_duplicates
@@ -18,5 +20,32 @@ def op2_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_additive_quantisation": op2_additive_quantisation}
-ORACLES: dict[str, str] = {}
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.lookup_table(spark, [f"shard-{i:03d}" for i in range(sharding.SHARDS)])
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", shards)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headers, payloads = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.records(headers, payloads).select(
+        "page_id",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha1("payload").alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
+QUERIES = {
+    "op1_minhash": op1_minhash,
+    "op2_additive_quantisation": op2_additive_quantisation,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_sharding": op4_sharding,
+    "op5_warc": op5_warc,
+}
+ORACLES = {"op3_line_dedup": lines.ORACLE, "op4_sharding": sharding.ORACLE, "op5_warc": warc.ORACLE}
