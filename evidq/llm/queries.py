@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, sharding, warc
+from . import bpe, lines, sharding, warc
 from .ann import nearest
 from .common import table
 from .minhash import near_duplicates
@@ -41,11 +41,23 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe.Vocabulary(spark, bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    decoded = vocabulary.decoded(encoded, "ids", "decoded")
+    return decoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_additive_quantisation": op2_additive_quantisation,
     "op3_line_dedup": op3_line_dedup,
     "op4_sharding": op4_sharding,
     "op5_warc": op5_warc,
+    "op6_byte_level_bpe": op6_byte_level_bpe,
 }
 ORACLES = {"op3_line_dedup": lines.ORACLE, "op4_sharding": sharding.ORACLE, "op5_warc": warc.ORACLE}
