@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows up to which a side may be broadcast; larger sides are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -192,13 +192,13 @@ def _between(width: int, percent: int):
     return group
 
 
-def _across(placed: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links between classes of different parts: links already checked, and pairs (u, v) still to be checked.
+def _across(placed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) between classes of different parts.
 
     Similar sets share a shingle of their prefixes. A prefix holds a set's first shingles by how often they occur; any
-    fixed order is exact, and a table of counters of fixed size gives a good one. In each shingle's group a member
-    outside the group's most frequent part is set against that whole part, in blocks of bounded size whose overlaps
-    are matrix products; members outside it are paired with each other.
+    fixed order is exact, and a table of counters of fixed size gives a good one. In each shingle's group, the members
+    outside the group's most frequent part are set against that whole part and each other, in blocks of bounded size
+    whose overlaps are matrix products; so a group's pairs are counted within tasks and never made into rows.
     """
     texts = docs.join(small(placed), docs.doc_id == placed.rep).select("rep", "part", "n", "text")
     texts = stored(texts.dropDuplicates(["rep", "text"]), "residue")
@@ -212,19 +212,19 @@ def _across(placed: DataFrame, docs: DataFrame, width: int, percent: int) -> tup
     keys = parts.agg(F.max_by("part", F.struct("count", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
     rows = stored(rows.join(keys.select("shingle", "most"), "shingle").where("part <> most"), "shared")
     against = stored(rows.select("rep", F.col("most").alias("part")).distinct(), "against")
-    blocks = lambda of: of.groupBy("part").agg(F.ceil(F.count("*") / _BLOCK).alias("blocks"))
+    sides = placed.select("rep", "part").join(against.select("part").distinct(), "part", "left_semi")
+    sides = stored(sides.select("rep", "part").union(against), "sides")
+    blocks = lambda of, n: of.groupBy("part").agg(F.ceil(F.count("*") / _BLOCK).alias(n))
     turn = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
-    size = blocks(placed).withColumnRenamed("blocks", "b").join(blocks(against).withColumnRenamed("blocks", "a"), "part")
-    size = stored(size, "sizes")
+    size = stored(blocks(against, "a").join(blocks(sides, "b"), "part"), "sizes")
+    texts = texts.select("rep", "text")
     left = against.join(size, "part").withColumn("i", turn("a")).withColumn("j", each("b"))
-    left = stored(left.join(texts.select("rep", "text"), "rep").select("part", "i", "j", "rep", "text"), "left")
-    right = texts.join(size, "part").withColumn("j", turn("b")).withColumn("i", each("a")).select("part", "i", "j", "rep", "text")
+    left = stored(left.join(texts, "rep").select("part", "i", "j", "rep", "text"), "left")
+    right = sides.join(size, "part").withColumn("j", turn("b")).withColumn("i", each("a"))
+    right = right.join(texts, "rep").select("part", "i", "j", "rep", "text")
     keyed = left.groupBy("part", "i", "j").cogroup(right.groupBy("part", "i", "j"))
-    links = keyed.applyInPandas(_between(width, percent), "u long, v long")
-    other = rows.select("shingle", F.col("rep").alias("v"), F.col("part").alias("part_v"), F.col("n").alias("n_v"))
-    pairs = rows.join(other, "shingle").where(f"part <> part_v AND rep < v AND 100 * least(n, n_v) >= {percent} * greatest(n, n_v)")
-    return links, pairs.select(F.col("rep").alias("u"), "v").distinct()
+    return keyed.applyInPandas(_between(width, percent), "u long, v long").where("u <> v")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -277,10 +277,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         placed = stored(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
     placed = stored(placed.join(mixed, "key", "left_semi").select("rep", "part", "n").distinct(), "mixed")
-    found, pairs = _across(placed, docs, width, percent)
-    pairs = stored(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-    more = _verified(pairs, _texts_of(docs, pairs), width, percent)
-    linked = stored(links.union(found).union(more), "links")
+    linked = stored(links.union(_across(placed, docs, width, percent)), "links")
     # rows of one doc_id with different texts form one document
     same = able.join(classes.select("digest", "rep"), "digest").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).where("u <> v")
     parts = connected_components(linked.union(same.distinct()))
