@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, sharding, warc
+from . import bpe, fertility, lines, sharding, substrings, warc
 from .ann import nearest
 from .common import table
 from .minhash import near_duplicates
@@ -52,6 +52,17 @@ def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return fertility.quality(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_additive_quantisation": op2_additive_quantisation,
@@ -59,5 +70,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_warc": op5_warc,
     "op6_byte_level_bpe": op6_byte_level_bpe,
+    "op7_fertility": op7_fertility,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 ORACLES = {"op3_line_dedup": lines.ORACLE, "op4_sharding": sharding.ORACLE, "op5_warc": warc.ORACLE}
