@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fertility, lines, sharding, substrings, warc
+from . import bpe, fertility, lines, packing, sharding, substrings, toxicity, warc
 from .ann import nearest
 from .common import table
 from .minhash import near_duplicates
@@ -63,6 +63,17 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_additive_quantisation": op2_additive_quantisation,
@@ -72,5 +83,7 @@ QUERIES = {
     "op6_byte_level_bpe": op6_byte_level_bpe,
     "op7_fertility": op7_fertility,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES = {"op3_line_dedup": lines.ORACLE, "op4_sharding": sharding.ORACLE, "op5_warc": warc.ORACLE}
