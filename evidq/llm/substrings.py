@@ -10,7 +10,7 @@ is merged into maximal intervals and cut out.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -153,19 +153,20 @@ def repeated_windows(docs: DataFrame, width: int = 13, anchor: int = 6) -> DataF
     return later
 
 
-def remove_repeats(docs: DataFrame, width: int = 13, anchor: int = 6) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_removed, spans, text, kept_sha256.
+def remove_repeats(docs: DataFrame, width: int = 13, anchor: int = 6, carried: Sequence[str] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, the columns ``carried``, n_words, n_removed, spans, text, kept_sha256.
 
     A window is ``width`` consecutive words (runs of anything but ASCII white space, unchanged) of one document. Every
     word covered by a window whose word sequence also starts in a document with a smaller doc_id is removed; windows are
     judged on the texts as given, and spans are the maximal intervals [start, end) of removed words. text is the kept
     words joined by one space if any was removed, else as it was; kept_sha256 is of the kept words so joined. Null
     texts stay null and have no words. Rows with a null doc_id lose nothing and take nothing. Rows that repeat a doc_id
-    are one document, none smaller than the other. Repeats inside a document stay. Other columns are ignored; an empty
+    are one document, none smaller than the other. Repeats inside a document stay. Other columns than those carried are ignored; an empty
     table gives no rows.
     """
     later = repeated_windows(docs, width, anchor).withColumnRenamed("doc_id", "_of")
-    rows = docs.select("doc_id", "text")
-    rows = rows.join(small(later, 10_000), rows.doc_id == F.col("_of"), "left").select("doc_id", "text", "hashes")
-    schema = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, text string, kept_sha256 string"
-    return rows.mapInArrow(_cut(width), schema)
+    rows = docs.select("doc_id", *carried, "text")
+    rows = rows.join(small(later, 10_000), rows.doc_id == F.col("_of"), "left").select("doc_id", *carried, "text", "hashes")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*carried).schema)
+    new = "n_words long, n_removed long, spans array<struct<start:long,end:long>>, text string, kept_sha256 string"
+    return rows.mapInArrow(_cut(width), f"doc_id long, {kept}{new}")
