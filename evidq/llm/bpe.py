@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from .common import non_empty, stored
 
-_BUCKETS = 1 << 16
 _LONG = 40
 
 
@@ -32,84 +31,97 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _slot(c: Column) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(_BUCKETS)).cast("int")
+def _slot(key: Column, buckets: Column | int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets) if isinstance(buckets, int) else buckets).cast("int")
 
 
-def bucketed(entries: DataFrame, key: str) -> Column:
-    """The rows of a table of bounded size as one literal: an array of buckets by the hash of ``key``."""
-    named = entries.select(_slot(F.col(key)).alias("slot"), F.struct(*entries.columns).alias("entry"))
+def bucketed(entries: DataFrame, key: str, buckets: int) -> Column:
+    """The rows of a table of bounded size as one literal: an array of ``buckets`` buckets by the hash of ``key``."""
+    named = entries.select(_slot(F.col(key), buckets).alias("slot"), F.struct(*entries.columns).alias("entry"))
     found = named.groupBy("slot").agg(F.collect_list("entry").alias("entries"))
-    slots = entries.sparkSession.range(_BUCKETS).select(F.col("id").cast("int").alias("slot"))
+    slots = entries.sparkSession.range(buckets).select(F.col("id").cast("int").alias("slot"))
     full = slots.join(found, "slot", "left").select("slot", F.coalesce("entries", F.array().cast(found.schema["entries"].dataType)).alias("entries"))
     one = full.agg(F.sort_array(F.collect_list(F.struct("slot", "entries"))).alias("all"))
     return stored(one.select(F.col("all.entries").alias("all")), "literal").scalar()
 
 
-def _found(table: Column, key: Column, field: str) -> Column:
+def _found(table: Column, key: Column, field: str, buckets: int) -> Column:
     """The entry of a key bound outside, or null."""
-    return F.get(F.filter(F.get(table, _slot(key)), lambda e: e[field] == key), F.lit(0))
+    return F.get(F.filter(F.get(table, _slot(key, buckets)), lambda e: e[field] == key), F.lit(0))
 
 
-def _rank(ranks: Column, part: Column) -> Column:
-    return _let(part, lambda p: _found(ranks, p, "token")["rank"])
+class Literals:
+    """The literals of a vocabulary, bound to lambda variables: whole tokens, pairs of ids that merge, ids of bytes."""
 
+    WHOLE, PAIRS = 1 << 17, 1 << 20
 
-def _pairs(ranks: Column, p: Column) -> Column:
-    """Ranks of adjacent parts; p has two parts at least."""
-    return F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: _rank(ranks, F.concat(F.get(p, i), F.get(p, i + 1))))
+    def __init__(self, whole: Column, pairs: Column, singles: Column):
+        self.whole, self.pairs, self.singles = whole, pairs, singles
 
+    def token(self, word: Column) -> Column:
+        return _found(self.whole, word, "token", self.WHOLE)["rank"]
 
-def _merge_first(ranks: Column, p: Column) -> Column:
+    def merge(self, a: Column, b: Column) -> Column:
+        """The entry (key, rank, lone) of two adjacent ids; a merge's rank is the id it makes."""
+        return _let(a.cast("long") * (1 << 20) + b, lambda k: _found(self.pairs, k, "key", self.PAIRS))
+
+
+def _pairs(v: Literals, p: Column) -> Column:
+    """Ranks of the merges of adjacent ids; p has two ids at least."""
+    return F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: v.merge(F.get(p, i), F.get(p, i + 1))["rank"])
+
+
+def _merge_first(v: Literals, p: Column) -> Column:
     def merged(found: Column) -> Column:
-        at = F.array_position(found, F.array_min(found)).cast("int")
-        whole = F.concat(F.get(p, at - 1), F.get(p, at))
-        done = F.concat(F.slice(p, 1, at - 1), F.array(whole), F.slice(p, at + 2, F.size(p)))
-        return F.when(F.array_min(found).isNull(), p).otherwise(done)
+        def at_least(least: Column) -> Column:
+            at = F.array_position(found, least).cast("int")
+            return F.when(least.isNull(), p).otherwise(F.concat(F.slice(p, 1, at - 1), F.array(least), F.slice(p, at + 2, F.size(p))))
+
+        return _let(F.array_min(found), at_least)
 
-    return F.when(F.size(p) < 2, p).otherwise(_let(_pairs(ranks, p), merged))
+    return F.when(F.size(p) < 2, p).otherwise(_let(_pairs(v, p), merged))
 
 
-def _merge_all(ranks: Column, state: Column) -> Column:
+def _merge_all(v: Literals, state: Column) -> Column:
     p = state["parts"]
 
     def marked(found: Column) -> Column:
         least = F.array_min(found)
         hits = F.array_join(F.transform(found, lambda r: F.when(r == least, "1").otherwise("0")), "")
         one = F.array_position(found, least).cast("int") - 1
-        token = F.concat(F.get(p, one), F.get(p, one + 1))
         only = F.concat(F.repeat(F.lit("0"), one), F.lit("1"), F.repeat(F.lit("0"), F.size(p)))
-        lone = _let(token, lambda t: _found(ranks, t, "token")["lone"])
+        lone = v.merge(F.get(p, one), F.get(p, one + 1))["lone"]
         # of neighbouring places the first, third and so on are merged
         mask = F.when(lone, only).otherwise(F.regexp_replace(hits, "11", "10"))
-        return F.when(least.isNull(), F.lit(None).cast("array<string>")).otherwise(F.split(mask, ""))
+        return F.struct(least.alias("least"), F.when(least.isNotNull(), F.split(mask, "")).alias("mask"))
 
-    def applied(mask: Column) -> Column:
-        at = lambda i: F.coalesce(F.get(mask, i), F.lit("0")) == "1"
-        part = lambda x, i: F.when(at(i), F.concat(x, F.get(p, i + 1))).when((i > 0) & at(i - 1), F.lit(None)).otherwise(x)
+    def applied(m: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(m["mask"], i), F.lit("0")) == "1"
+        part = lambda x, i: F.when(at(i), m["least"]).when((i > 0) & at(i - 1), F.lit(None)).otherwise(x)
         new = F.filter(F.transform(p, part), lambda x: x.isNotNull())
-        return F.struct(F.when(mask.isNull(), p).otherwise(new).alias("parts"), mask.isNull().alias("done"))
+        return F.struct(F.when(m["mask"].isNull(), p).otherwise(new).alias("parts"), m["mask"].isNull().alias("done"))
 
     over = F.struct(p.alias("parts"), F.lit(True).alias("done"))
-    return F.when(state["done"], state).when(F.size(p) < 2, over).otherwise(_let(_let(_pairs(ranks, p), marked), applied))
+    return F.when(state["done"], state).when(F.size(p) < 2, over).otherwise(_let(_let(_pairs(v, p), marked), applied))
 
 
-def fold(ranks: Column, word: Column) -> Column:
+def fold(v: Literals, word: Column) -> Column:
     """Decimal ids, joined by commas, of the bytes of one word."""
 
-    def ids(parts: Column) -> Column:
-        return F.array_join(F.transform(parts, lambda p: _rank(ranks, p).cast("string")), ",")
-
-    def folded(b: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(1), F.length(b)), lambda i: F.substring(b, i, F.lit(1)))
-        turns = F.sequence(F.lit(2), F.length(b))
-        short = F.aggregate(turns, parts, lambda p, _: _merge_first(ranks, p))
+    def folded(parts: Column) -> Column:
+        turns = F.sequence(F.lit(2), F.size(parts))
+        short = F.aggregate(turns, parts, lambda p, _: _merge_first(v, p))
         start = F.struct(parts.alias("parts"), F.lit(False).alias("done"))
-        long = F.aggregate(turns, start, lambda s, _: _merge_all(ranks, s), lambda s: s["parts"])
-        whole = _rank(ranks, b).cast("string")
-        return F.coalesce(whole, F.when(F.length(b) <= _LONG, ids(short)).otherwise(ids(long)))
+        long = F.aggregate(turns, start, lambda s, _: _merge_all(v, s), lambda s: s["parts"])
+        ids = F.when(F.size(parts) <= _LONG, short).otherwise(long)
+        return F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")
+
+    def known(b: Column) -> Column:
+        # as Latin-1 text, a character's code point is its byte
+        codes = F.transform(F.split(F.decode(b, "ISO-8859-1"), ""), lambda c: F.get(v.singles, F.ascii(c)))
+        return F.coalesce(v.token(b).cast("string"), _let(codes, folded))
 
-    return _let(word.cast("binary"), folded)
+    return _let(word.cast("binary"), known)
 
 
 class Vocabulary:
@@ -120,24 +132,32 @@ class Vocabulary:
     """
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
-        lone = set()
+        merges, lone = [], set()
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
+                    merges.append(((a << 20) + b, rank))
                     lone |= {x for x in (a, b) if x > rank}
-        rows = [(bytearray(t), r, r in lone) for t, r in ranks.items()]
-        self.ranks = bucketed(spark.createDataFrame(rows, "token binary, rank int, lone boolean"), "token")
+        pairs = [(k, r, r in lone) for k, r in merges]
+        whole = spark.createDataFrame([(bytearray(t), r) for t, r in ranks.items()], "token binary, rank int")
         names = [""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             names[r] = t.hex()
         names = spark.createDataFrame([(names,)], "names array<string>")
         self.names = stored(names, "names").scalar()
-
-    def encoded(self, df: DataFrame, name: str, body, **literals: Column) -> DataFrame:
-        """``df`` with the column ``name`` = body(ranks, *literals)."""
-        bound = lambda names, args: body(*args) if not names else _let(F.col(names[0]), lambda x: bound(names[1:], [*args, x]))
-        all_ = {"_ranks": self.ranks} | literals
+        singles = spark.createDataFrame([([ranks[bytes([i])] for i in range(256)],)], "singles array<int>")
+        self.literals = {
+            "_whole": bucketed(whole, "token", Literals.WHOLE),
+            "_pairs": bucketed(spark.createDataFrame(pairs, "key long, rank int, lone boolean"), "key", Literals.PAIRS),
+            "_singles": stored(singles, "singles").scalar(),
+        }
+
+    def encoded(self, df: DataFrame, name: str, body, **more: Column) -> DataFrame:
+        """``df`` with the column ``name`` = body(literals, *more)."""
+        call = lambda args: body(Literals(*args[:3]), *args[3:])
+        bound = lambda names, args: call(args) if not names else _let(F.col(names[0]), lambda x: bound(names[1:], [*args, x]))
+        all_ = self.literals | more
         return df.withColumns(all_).select(*df.columns, bound(list(all_), []).alias(name))
 
     def decoded(self, df: DataFrame, ids: str, name: str) -> DataFrame:
@@ -166,18 +186,21 @@ def common_words(docs: DataFrame, pattern: str, most: int) -> DataFrame:
     return counts.where(F.lit(False) if least is None else step >= least).select("word")
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, most: int = 1 << 18) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, most: int = 1 << 19) -> DataFrame:
     """doc_id, ids (decimal, joined by commas) and n_tokens for every row of ``docs`` (doc_id, text).
 
     Texts are whole; a null text counts as empty and has no ids. Rows that repeat are encoded each; a null doc_id
     stays. Other columns are ignored. ``most`` bounds the table of common words, not what is encoded.
     """
     docs = docs.select("doc_id", non_empty("text").alias("text"))
-    known = common_words(docs, pattern, most)
-    known = bucketed(vocabulary.encoded(known, "ids", lambda ranks: fold(ranks, F.col("word"))), "word")
-
-    def text_ids(ranks: Column, table: Column) -> Column:
-        one = lambda w: F.coalesce(_found(table, w, "word")["ids"], fold(ranks, w))
+    frequent = common_words(docs, pattern, most)
+    buckets = max(1, frequent.count()).bit_length()
+    buckets = 1 << min(20, buckets + 1)
+    known = vocabulary.encoded(frequent, "ids", lambda v: fold(v, F.col("word")))
+    known = bucketed(known, "word", buckets)
+
+    def text_ids(v: Literals, table: Column) -> Column:
+        one = lambda w: F.coalesce(_found(table, w, "word", buckets)["ids"], fold(v, w))
         return F.array_join(F.transform(words(F.col("text"), pattern), one), ",")
 
     out = vocabulary.encoded(docs, "ids", text_ids, _known=known).select("doc_id", "ids")
