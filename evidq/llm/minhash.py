@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, small, stored
+from .common import sliced, small, stored
 from .components import connected_components
 
 _EMPTY = np.uint64(2**64 - 1)
@@ -31,6 +31,8 @@ _CHUNK = 1 << 19
 _COUNTERS = 1 << 18
 #: Documents on either side of a block of comparisons.
 _BLOCK = 128
+#: Ids of documents up to which they are broadcast to find their texts, a few megabytes; more are shuffled.
+_IDS = 200_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -93,7 +95,7 @@ def _hashed(lists: list[list[bytes]], width: int) -> tuple[np.ndarray, np.ndarra
 
 def _signatures(width: int, bands: int, rows: int):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in sliced(it):
             texts, at = batch.column("text").to_pylist(), 0
             while at < len(texts):
                 lists, size, start = [], 0, at
@@ -200,7 +202,7 @@ def _across(placed: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     outside the group's most frequent part are set against that whole part and each other, in blocks of bounded size
     whose overlaps are matrix products; so a group's pairs are counted within tasks and never made into rows.
     """
-    texts = docs.join(small(placed), docs.doc_id == placed.rep).select("rep", "part", "n", "text")
+    texts = docs.join(small(placed, _IDS), docs.doc_id == placed.rep).select("rep", "part", "n", "text")
     texts = stored(texts.dropDuplicates(["rep", "text"]), "residue")
     counts = np.zeros(_COUNTERS, np.int64)
     sums = texts.select("text").mapInArrow(_counted(width), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
@@ -230,7 +232,7 @@ def _across(placed: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Whole texts of the documents that stand in some pair."""
     ids = stored(ids.select(F.col("u").alias("doc_id")).union(ids.select("v")).distinct(), "paired")
-    return stored(docs.join(small(ids), "doc_id", "left_semi").distinct(), "texts")
+    return stored(docs.join(small(ids, _IDS), "doc_id", "left_semi").distinct(), "texts")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -259,14 +261,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     classes = stored(able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
     many = buckets.groupBy("key").count().where("count > 1").select("key")
-    members = stored(buckets.join(small(stored(many, "buckets")), "key"), "members")
+    members = stored(buckets.join(many, "key"), "members")
     placed = members.withColumn("part", F.col("rep"))
     tested = links = None
     for turn in range(turns):
         first = F.min_by(F.struct("rep", "part"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep"))
         mixed = placed.groupBy("key").agg(first.alias("first"), F.min("part").alias("low"), F.max("part").alias("high"))
         mixed = mixed.where("low <> high").select("key", F.col("first.rep").alias("lead"), F.col("first.part").alias("lead_part"))
-        stars = placed.join(small(stored(mixed, "mixed")), "key").where("part <> lead_part")
+        stars = placed.join(mixed, "key").where("part <> lead_part")
         stars = stars.select(F.least("rep", "lead").alias("u"), F.greatest("rep", "lead").alias("v")).distinct()
         stars = stored(stars if tested is None else stars.join(tested, ["u", "v"], "left_anti"), "stars")
         found = stored(_verified(stars, _texts_of(docs, stars), width, percent), "links")
