@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, small, stored
+from .common import dropped, sliced, small, stored
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 18
@@ -75,7 +75,7 @@ def _longs(parts: list[np.ndarray]) -> pa.Array:
 
 def _anchors(width: int, anchor: int):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in sliced(it):
             ids, out, owner = batch.column("doc_id").to_pylist(), [], []
             for i, _, h in _hashed(batch):
                 out.append(np.unique(_windows(h, width, anchor)[1]))
@@ -89,7 +89,7 @@ def _repeated(width: int, anchor: int):
     """Windows whose anchor is one of the row's repeated anchors."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in sliced(it):
             ids, known, out, owner = batch.column("doc_id").to_pylist(), batch.column("hashes"), [], []
             for i, _, h in _hashed(batch):
                 full, least = _windows(h, width, anchor)
@@ -103,7 +103,7 @@ def _repeated(width: int, anchor: int):
 
 def _cut(width: int):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in sliced(it):
             rows: list[tuple] = []
             texts, known = batch.column("text").to_pylist(), batch.column("hashes")
             for i, words, h in _hashed(batch):
