@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sliced, stored
 
 _CACHE = 200_000
 _SYMBOLS = "#*$%&|<>"
@@ -65,7 +65,7 @@ def repeated_words(words: list, width: int = 5) -> int:
 def _measured(path: str):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Words(path)
-        for batch in it:
+        for batch in sliced(it):
             rows = []
             for text in batch.column("text").to_pylist():
                 text = text or ""

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import non_empty, stored
+from .common import non_empty, sliced, stored
 
 _CACHE = 300_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -55,7 +55,7 @@ def _pieces(path: str, pattern: str, end: int, size: int):
 
         ids, split = _Ids(path), regex.compile(pattern).findall
         tail = np.array([end], "<u4").tobytes()
-        for batch in it:
+        for batch in sliced(it):
             rows = []
             for doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")), strict=True):
                 data = b"".join([ids[w] for w in split(text)]) + tail
