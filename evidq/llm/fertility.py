@@ -116,7 +116,7 @@ def quality(docs: DataFrame, vocabulary: str, band: str = "lang") -> DataFrame:
     inside = F.lit(True)
     for m, least in zip(MEASURES, LEAST, strict=True):
         q = F.col(f"q_{m}")
-        width = F.greatest(SPREAD * (q[2] - q[0]), F.lit(least)) * (1 + SHORT / F.col("n_tokens"))
+        width = F.greatest(SPREAD * (q[2] - q[0]), F.lit(least)) * (1 + SHORT / F.greatest("n_tokens", F.lit(1)))
         low = F.lit(True) if m == "fallback_share" else F.col(m) >= q[1] - width
         inside = inside & low & (F.col(m) <= q[1] + width)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
