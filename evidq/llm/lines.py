@@ -24,7 +24,7 @@ def _lines(docs: DataFrame, site: str, min_chars: int) -> DataFrame:
     return lines.select("doc_id", "site", "text_hash", "pos", F.xxhash64(line).alias("h"), F.hash(line).alias("g"))
 
 
-def spread_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, min_chars: int = 12, lg_k: int = 12) -> DataFrame:
+def spread_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, min_chars: int = 1, lg_k: int = 12) -> DataFrame:
     """Line hashes (h, g) seen on at least ``min_sites`` distinct sites, with the place (doc_id, pos) of the first."""
     lines = _lines(docs, site, min_chars)
     several = lines.groupBy("h", "g").agg(F.min("site").alias("low"), F.max("site").alias("high")).where("low <> high").select("h", "g")
@@ -43,11 +43,11 @@ def spread_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, min
     return stored(clear.select("h", "g", "first").union(exact.select("h", "g", "first")), "spread")
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, min_chars: int = 12, lg_k: int = 12) -> DataFrame:
+def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, min_chars: int = 1, lg_k: int = 12) -> DataFrame:
     """``docs`` with its columns, and n_lines and n_removed last; text is without the lines found on many sites.
 
-    A line is what stands between newlines, compared without the blanks around it. Lines under ``min_chars`` characters
-    always stay. A line on at least ``min_sites`` distinct values of ``site`` is removed everywhere but where it comes
+    A line is what stands between newlines, compared without the blanks around it. Blank lines always stay; every other
+    line is counted, unless a larger ``min_chars`` exempts those of fewer characters. A line on at least ``min_sites`` distinct values of ``site`` is removed everywhere but where it comes
     first: in the smallest doc_id, at its first place there. A null site is no site, but its documents lose lines too;
     rows with a null doc_id never come first. A null text stays null, with no lines. Rows of equal doc_id and text
     are treated alike. A document can end up empty; its row stays. Other columns pass through, whatever their names.
@@ -68,6 +68,9 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, min_
     return both.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in kept), n_lines.alias("n_lines"), n_gone.alias("n_removed"))
 
 
+#: The query's SQL exempts lines of fewer characters.
+ORACLE_CHARS = 12
+
 #: Columns of ``op3_line_dedup``: doc_id, n_lines, n_removed, text_sha256.
 ORACLE = """
 WITH parts AS (

@@ -21,7 +21,7 @@ def op2_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"), min_chars=lines.ORACLE_CHARS)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

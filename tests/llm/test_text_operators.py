@@ -10,7 +10,9 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from evidq.llm import bpe, fertility, lines, packing, substrings
 from evidq.llm.minhash import near_duplicates
 
@@ -99,6 +101,17 @@ def test_lines(docs, rows):
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got), key=key) == sorted(expect, key=key)
 
 
+def test_short_lines_spread_too(spark):
+    """The second line of a footer goes with the first, however short it is; blank lines and lines on few sites stay."""
+    texts = [f"own words of document {i}\nThe footer of every site.\n Les.\n}}\n\n{'few' if i < 9 else i}" for i in range(12)]
+    few = spark.createDataFrame([(i, t, "en", f"site-{i}", "x", "y") for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in lines.dedup_lines(few).collect()}
+    assert got[0].text == texts[0] and got[0].n_removed == 0
+    assert all(got[i].text == f"own words of document {i}\n\n{'few' if i < 9 else i}" and got[i].n_removed == 3 for i in range(1, 12))
+    piped = corpus_pipeline.drop_spread_lines(spark, few.withColumn("n_chars", F.lit(0)), "").collect()
+    assert {r.doc_id: r.text for r in piped} == {i: r.text for i, r in got.items()}
+
+
 def test_byte_level_bpe(spark, docs, rows):
     import tiktoken
 
