@@ -1,8 +1,8 @@
 """Quality rules: plain counts, and how well a public tokeniser's vocabulary fits a text.
 
 For every text the number of characters per token, the share of byte-fallback tokens and the entropy of its tokens
-are measured with a public vocabulary. Bands of these per language (or script) decide; they come from quantiles over
-all texts of the language, widened by a multiple of the distance between the quartiles.
+are measured with a public vocabulary. Bands of these per language (or script) and length decide; they come from
+quantiles over all texts of the language and class of lengths, widened by a multiple of the distance between the quartiles.
 """
 
 from __future__ import annotations
@@ -14,16 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, stored
+from .common import sliced, small, stored
 
 _CACHE = 200_000
 _SYMBOLS = "#*$%&|<>"
 MEASURES = ("chars_per_token", "fallback_share", "token_entropy")
-#: Half-widths of the bands, in distances between the quartiles, for very long texts; the number of tokens at which they
-#: are twice as wide, as short texts vary more; and the least half-width of each measure.
+#: Half-widths of the bands, in distances between the quartiles; the number of tokens at which bands of a whole language
+#: are twice as wide as for very long texts, as short texts vary more; and the least half-width of each measure.
 SPREAD, SHORT, LEAST = 3.0, 100, (0.05, 0.02, 0.5)
-#: Texts with fewer tokens say too little about a vocabulary; they aren't judged by the bands.
-MIN_TOKENS = 50
+#: Classes of lengths are powers of two in tokens; those below 2 ** SHORTEST are one class. A class with fewer than
+#: LEAST_TEXTS texts has no quartiles of its own; its texts are judged by those of the language.
+SHORTEST, LEAST_TEXTS = 6, 40
 _SCHEMA = """doc_id long, band string, n_words long, word_chars long, n_symbols long, n_dup_lines long,
  n_repeat_words long, n_tokens long, chars_per_token double, fallback_share double, token_entropy double"""
 
@@ -104,22 +105,27 @@ def quality(docs: DataFrame, vocabulary: str, band: str = "lang") -> DataFrame:
     """One row per row of ``docs``: doc_id, counts, base_failed, kept, and the measures that kept comes from.
 
     Words are runs of anything but ASCII white space, lines are compared whole. base_failed: fewer than 10 words, or
-    over 20 % of the words in repeated 5-word windows. kept is false for these, and for texts of MIN_TOKENS tokens or
-    more with a measure outside the band of their language; the lower side of the fallback share has no bound. A null
-    text counts as empty and fails; a null language is a group of its own. Rows that repeat are judged each. Other
-    columns are ignored; an empty table gives no rows.
+    over 20 % of the words in repeated 5-word windows. kept is false for these, and for texts of any length with a
+    measure outside the band of their language and class of lengths; the lower side of the fallback share has no bound.
+    A null text counts as empty and fails; a null language is a group of its own. Rows that repeat are judged each.
+    Other columns are ignored; an empty table gives no rows.
     """
     rows = stored(measure(docs, vocabulary, band), "measures")
-    judged = rows.where(f"n_tokens >= {MIN_TOKENS}").groupBy("band")
-    quartiles = judged.agg(*(F.percentile_approx(m, [0.25, 0.5, 0.75], 10000).alias(f"q_{m}") for m in MEASURES))
-    out = rows.join(quartiles, "band", "left")
+    length = F.greatest(F.floor(F.log2("n_tokens")), F.lit(SHORTEST - 1)).cast("int")
+    rows = rows.withColumn("length", F.when(F.col("n_tokens") > 0, length))
+    quartiles = lambda to: [F.percentile_approx(m, [0.25, 0.5, 0.75], 10000).alias(f"{to}_{m}") for m in MEASURES]
+    judged = rows.where("n_tokens > 0")
+    classes = judged.groupBy("band", "length").agg(F.count("*").alias("n"), *quartiles("q")).where(f"n >= {LEAST_TEXTS}")
+    classes = stored(classes.drop("n"), "classes")
+    languages = stored(judged.groupBy("band").agg(*quartiles("all")), "languages")
+    out = rows.join(small(classes), ["band", "length"], "left").join(small(languages), "band", "left")
     inside = F.lit(True)
     for m, least in zip(MEASURES, LEAST, strict=True):
-        q = F.col(f"q_{m}")
-        width = F.greatest(SPREAD * (q[2] - q[0]), F.lit(least)) * (1 + SHORT / F.greatest("n_tokens", F.lit(1)))
+        own, q = F.col(f"q_{m}").isNotNull(), F.coalesce(f"q_{m}", f"all_{m}")
+        width = F.greatest(SPREAD * (q[2] - q[0]), F.lit(least)) * F.when(own, 1.0).otherwise(1 + SHORT / F.greatest("n_tokens", F.lit(1)))
         low = F.lit(True) if m == "fallback_share" else F.col(m) >= q[1] - width
         inside = inside & low & (F.col(m) <= q[1] + width)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    fits = (F.col("n_tokens") < MIN_TOKENS) | F.coalesce(inside, F.lit(False))
+    fits = F.coalesce(inside, F.lit(False))
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return out.select(*counts, failed.alias("base_failed"), (~failed & fits).alias("kept"), "n_tokens", *MEASURES, "band")

@@ -143,6 +143,20 @@ def test_fertility(docs, rows):
     assert not any(r.kept and r.base_failed for r in got) and any(r.kept for r in got)
 
 
+def test_bands_reject_at_any_length(spark):
+    """Symbol salad and texts in byte tokens go, the short ones as well; plain texts of both lengths stay."""
+    rng = random.Random(7)
+    common = "the of and to in is was for on that with as it by at from his be this are had not but which or".split()
+    plain = [" ".join(rng.choices(common, k=n)) for n in [14] * 60 + [90] * 60]
+    salad = [" ".join("".join(rng.choices("#*$%&|<>=~^", k=4)) for _ in range(n)) for n in (11, 12, 90)]
+    fallback = [" ".join("".join(chr(rng.randrange(0x12000, 0x12300)) for _ in range(3)) for _ in range(n)) for n in (10, 11, 90)]
+    texts = plain + salad + fallback
+    few = spark.createDataFrame([(i, t, "en", "s", "x", "y") for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in fertility.quality(few, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert not any(got[i].base_failed or got[i].kept for i in range(120, len(texts)))
+    assert sum(got[i].kept for i in range(120)) >= 118 and min(got[i].n_tokens for i in range(120, 123)) < 50
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
