@@ -46,11 +46,11 @@ def received_after(as_of_ns: int, epoch: int) -> Column:
     return (F.col("origin") == "live") & (F.col("received_epoch") == epoch) & (F.col("received_steady_ns") > as_of_ns)
 
 
-def records_as_of(evidence: DataFrame, policy, as_of_ns: int, epoch: int, size: int = RING) -> DataFrame:
+def records_as_of(evidence: DataFrame, policy, as_of_ns: int, epoch: int, size: int | None = RING) -> DataFrame:
     """Per stream what was known at an instant.
 
     The newest fed reading, if it had come by then; else the last arrival of the ring that had, with continuity replayed
-    by the whole machine over the ring's readings up to then.
+    by the whole machine over the ring's readings up to then. A ``size`` of None is a ring without end.
     """
     newest = current_records(evidence, policy)
     after = received_after(as_of_ns, epoch)

@@ -11,8 +11,10 @@ from ..functions.vocabulary import FAMILIES, STREAM, rank
 RING, HISTORY = 64, 65_536
 
 
-def ring(evidence: DataFrame, size: int = RING, key: list[str] | None = None) -> DataFrame:
-    """The last ``size`` rows of each stream by arrival."""
+def ring(evidence: DataFrame, size: int | None = RING, key: list[str] | None = None) -> DataFrame:
+    """The last ``size`` rows of each stream by arrival; all rows if it is None."""
+    if size is None:
+        return evidence
     newest = Window.partitionBy(*(key or STREAM)).orderBy(F.desc("ordinal"))
     return evidence.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= size).drop("_n")
 

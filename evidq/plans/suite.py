@@ -518,7 +518,7 @@ def window_range(spark, sf_dir):
     return history.summary(adapters.gauges(_events(spark, sf_dir)), history.WindowQuery(from_ns=_FROM, to_ns=_TO, limit=100))
 
 
-# The ring is long enough here to reach back to the instant in every stream.
+# The SQL knows no ring, so these have none and reach back to the instant in every stream, however long it is.
 _PAST = AS_OF - 120 * HOUR
 
 
@@ -528,7 +528,7 @@ SELECT link_id, source_id, metric, event_id AS sequence FROM latest"""
 )
 def as_of_records(spark, sf_dir):
     rows = _fed(adapters.gauges(_events(spark, sf_dir)))
-    out = assess.records_as_of(rows, POLICY, _PAST, adapters.EPOCH, size=1_000_000)
+    out = assess.records_as_of(rows, POLICY, _PAST, adapters.EPOCH, size=None)
     return out.select("link_id", "source_id", text.metric_id().alias("metric"), "sequence")
 
 
@@ -537,7 +537,7 @@ def as_of_records(spark, sf_dir):
 )
 def as_of_report(spark, sf_dir):
     rows = _fed(adapters.gauges(_events(spark, sf_dir)))
-    records = assess.records_as_of(rows, POLICY, _PAST, adapters.EPOCH, size=1_000_000)
+    records = assess.records_as_of(rows, POLICY, _PAST, adapters.EPOCH, size=None)
     out = assess.roll_up_links(assess.assess(records, _views(spark, rows), POLICY, _PAST, adapters.EPOCH), POLICY)
     return out.select("link_id", "overall", "confidence", "evidence_considered", "evidence_fresh", "evidence_present")
 

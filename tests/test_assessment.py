@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidq.engine import Engine
+from evidq.operators import assess, retention
 from evidq.operators.history import WindowQuery
+from evidq.plans import suite
 from evidq.plans.capability import Declaration, Measures
 from evidq.plans.catalog import Refused
 from evidq.plans.policy import DEFAULT, Policy, Rule, bands
@@ -76,6 +78,17 @@ def test_as_of(spark, tmp_path):
     assert rx(e, 21, past=True).state == "degraded"
 
 
+def test_as_of_queries_have_no_ring(spark, sf_dir, monkeypatch):
+    """However many arrivals follow the instant, none of those before it is cut off."""
+    rows = spark.createDataFrame([(i, 0) for i in range(9)], "ordinal long, k int")
+    assert retention.ring(rows, None, ["k"]).count() == 9 and retention.ring(rows, 4, ["k"]).count() == 4
+    sizes = []
+    monkeypatch.setattr(assess, "ring", lambda evidence, size: sizes.append(size) or retention.ring(evidence, size))
+    suite.QUERIES["as_of_records"](spark, sf_dir)
+    suite.QUERIES["as_of_report"](spark, sf_dir)
+    assert sizes == [None, None]
+
+
 def test_recovered_is_never_fresh(spark, tmp_path):
     engine(spark, tmp_path, gauges(spark, [("src-a", 0, -3.0)]))
     later = Engine.open(spark, str(tmp_path / "log"), 99).declare(Declaration("src-a", (RX,)))
