@@ -104,11 +104,14 @@ def age_gate(rows: DataFrame, now_wall_ns: int | str | Column, max_age_ns: int =
 def limit_firsts(rows: DataFrame, key: list[str], within: list[str], most: int) -> DataFrame:
     """Of the distinct ``key`` values in each group ``within``, only the first ``most`` by arrival are let in.
 
-    Covers the limits on streams per link, and on links (an empty ``within``): one small row per key is ranked.
+    Covers the limits on streams per link, and on links (an empty ``within``): the first ``most`` keys are cut per partition, and the rest are over.
     """
     firsts = rows.where("status_code = 'ok'").groupBy(*within, *key).agg(F.min("ordinal").alias("_first"))
-    order = Window.partitionBy(*within).orderBy("_first") if within else Window.partitionBy(F.lit(0)).orderBy("_first")
-    over = firsts.withColumn("_n", F.row_number().over(order)).where(F.col("_n") > most)
+    if within:
+        over = firsts.withColumn("_n", F.row_number().over(Window.partitionBy(*within).orderBy("_first"))).where(F.col("_n") > most)
+    else:
+        let_in = firsts.orderBy("_first").limit(most).select(F.col("_first").alias("_in"))
+        over = firsts.join(let_in, F.col("_first") == F.col("_in"), "left_anti")
     names = {c: f"_k_{c}" for c in [*within, *key]}
     over = over.select(*(F.col(c).alias(n) for c, n in names.items()), F.lit(True).alias("_over"))
     met = F.lit(True)

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from evidq.operators import counters, fence
+from evidq.operators import admission, counters, fence
 from evidq.plans.policy import DEFAULT
 from evidq.sources import adapters
 from evidq.streaming import continuity
@@ -45,3 +45,12 @@ def test_streaming_equals_batch(spark, sf_dir, tmp_path):
     steps = counters.steps(counters.with_rules(batch.where("fence = 'accepted'"), policy)).select(names)
     assert sorted(map(tuple, got.where("event IS NOT NULL").select(names).collect())) == sorted(map(tuple, steps.collect()))
 
+
+def test_limit_on_links_ranks_no_key_in_one_task(spark):
+    keys = ["a", None, "b", "a", "c", "d", None, "d", "b"]
+    rows = [(i, k, "invalid" if i == 4 else "ok") for i, k in enumerate(keys)]
+    data = spark.createDataFrame(rows, "ordinal long, link_id string, status_code string").repartition(3)
+    out = admission.limit_firsts(data, ["link_id"], [], 2)
+    want = ["ok", "ok", "limit-exceeded", "ok", "invalid", "limit-exceeded", "ok", "limit-exceeded", "limit-exceeded"]
+    assert [r.status_code for r in out.orderBy("ordinal").collect()] == want
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
