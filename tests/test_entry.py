@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -14,7 +15,7 @@ QUICK = [n for n in entry.queries() if not n.startswith("op") and n != "pipeline
 def plain(x):
     if hasattr(x, "item"):
         x = x.item()
-    if x is None or x != x:
+    if pd.api.types.is_scalar(x) and pd.isna(x):
         return None
     if isinstance(x, float) and math.isfinite(x):
         return int(x) if x == int(x) else float(f"{x:.12g}")
