@@ -29,6 +29,10 @@ def _parser() -> argparse.ArgumentParser:
             one.add_argument("link")
         if name == "query":
             one.add_argument("--json", action="store_true")
+            one.add_argument("--link", help="only this link, seen or not")
+            one.add_argument("--generation", type=int, default=1)
+            one.add_argument("--metric", action="append", help="family:name; may be given again")
+            one.add_argument("--lane", type=int)
         if name == "log-dump":
             one.add_argument("--limit", type=int, default=20)
     return p
@@ -42,12 +46,12 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "emit":
         engine.ingest(adapters.generated(spark, a.count, a.link)).show()
     elif a.command == "query":
-        out = engine.query(a.now)
+        out = engine.query(a.now, a.link and [(a.link, a.generation)], a.metric and [tuple(m.split(":", 1)) for m in a.metric], a.lane)
         print("\n".join(out.toJSON().collect())) if a.json else out.show(truncate=False)
     elif a.command == "explain":
         print(engine.explain(a.link, a.now))
     elif a.command == "inspect":
-        print(rendering.inspection({k: v.limit(256).collect() for k, v in engine.inspect(a.now).items()}))
+        print(rendering.inspection({k: v.collect() for k, v in engine.inspect(a.now).items()}))
     elif a.command == "metrics":
         Catalog().scan(spark).show(100, truncate=False)
     elif a.command == "policy":

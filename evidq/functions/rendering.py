@@ -50,9 +50,22 @@ def capability_view(rows: Iterable) -> str:
     return "\n".join(f"{r.link_id}/gen{r.link_generation} {r.family}:{r.name} by {', '.join(r.declared_by) or 'none'}, {r.lanes} lanes" for r in rows)
 
 
+def _entry(name: str, r) -> str:
+    if name == "freshness":
+        return f"{r.fresh_sources} fresh of {r.declared_sources} declared, {r.stale_sources} stale, {r.recovered_sources} recovered, newest {r.newest_age_ns} ns"
+    if name == "stale":
+        return f"{'aggregate' if r.lane is None else f'lane{r.lane}'} {r.source_id}@{r.source_incarnation} {r.age_ns} ns old, {r.reason}"
+    return f"spread {number(r.spread)} over {number(r.tolerance)}: {', '.join(r.claimants)}"
+
+
 def inspection(parts: dict[str, list]) -> str:
+    """The lists of an inspection, each entry with its figures, and what was left out."""
     lines = []
     for name, rows in parts.items():
+        if name == "left_out":
+            lines += [f"links {r.links_inspected}, entries dropped {r.entries_dropped}{', truncated' if r.truncated else ''}" for r in rows]
+            continue
         lines.append(f"{name}: {len(rows)}")
-        lines += [f"  {r.link_id}/gen{r.link_generation} {r.family}:{r.name}" for r in sorted(rows, key=lambda r: (r.link_id, r.link_generation, FAMILIES.index(r.family), r.name))]
+        rows = sorted(rows, key=lambda r: (r.link_id, r.link_generation, FAMILIES.index(r.family), r.name))
+        lines += [f"  {r.link_id}/gen{r.link_generation} {r.family}:{r.name} {_entry(name, r)}" for r in rows]
     return "\n".join(lines)

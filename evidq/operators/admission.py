@@ -101,17 +101,24 @@ def age_gate(rows: DataFrame, now_wall_ns: int | str | Column, max_age_ns: int =
     return rows.withColumns({"fault": F.when(old, "too old").otherwise(F.col("fault")), "status_code": F.when(old, "stale").otherwise(F.col("status_code"))})
 
 
-def limit_firsts(rows: DataFrame, key: list[str], within: list[str], most: int) -> DataFrame:
+def limit_firsts(rows: DataFrame, key: list[str], within: list[str], most: int, known: DataFrame | None = None) -> DataFrame:
     """Of the distinct ``key`` values in each group ``within``, only the first ``most`` by arrival are let in.
 
-    Covers the limits on streams per link, and on links (an empty ``within``): the first ``most`` keys are cut per partition, and the rest are over.
+    Covers the limits on streams per link, and on links (an empty ``within``): the first ``most`` keys are cut per
+    partition, and the rest are over. Keys that ``known`` holds came before all of ``rows``.
     """
-    firsts = rows.where("status_code = 'ok'").groupBy(*within, *key).agg(F.min("ordinal").alias("_first"))
+    arrived = rows.where("status_code = 'ok'").select(*within, *key, "ordinal")
+    if known is not None:
+        arrived = arrived.unionByName(known.select(*within, *key, F.lit(-1).cast("long").alias("ordinal")))
+    firsts = arrived.groupBy(*within, *key).agg(F.min("ordinal").alias("_first"))
     if within:
         over = firsts.withColumn("_n", F.row_number().over(Window.partitionBy(*within).orderBy("_first"))).where(F.col("_n") > most)
     else:
-        let_in = firsts.orderBy("_first").limit(most).select(F.col("_first").alias("_in"))
-        over = firsts.join(let_in, F.col("_first") == F.col("_in"), "left_anti")
+        let_in = firsts.orderBy("_first").limit(most).select(*(F.col(c).alias(f"_in_{c}") for c in key), F.lit(True).alias("_in"))
+        same = F.lit(True)
+        for c in key:
+            same = same & F.col(c).eqNullSafe(F.col(f"_in_{c}"))
+        over = firsts.join(let_in, same, "left_anti")
     names = {c: f"_k_{c}" for c in [*within, *key]}
     over = over.select(*(F.col(c).alias(n) for c, n in names.items()), F.lit(True).alias("_over"))
     met = F.lit(True)
@@ -122,12 +129,17 @@ def limit_firsts(rows: DataFrame, key: list[str], within: list[str], most: int)
     return joined.withColumn("status_code", F.when(hit, "limit-exceeded").otherwise(F.col("status_code"))).select(*rows.columns)
 
 
-def outcome(rows: DataFrame, status: str = "status_code") -> DataFrame:
-    """One row: how many rows were read, let in, refused, and the code of the first refusal by arrival."""
+def outcome_columns(status: str = "status_code") -> list[Column]:
+    """How many rows were read, let in, refused, and the code of the first refusal by arrival."""
     bad = F.col(status) != "ok"
-    return rows.agg(
+    return [
         F.count("*").alias("total"),
         F.count_if(~bad).alias("accepted"),
         F.count_if(bad).alias("refused"),
         F.min_by(F.when(bad, F.col(status)), F.when(bad, F.col("ordinal"))).alias("first_code"),
-    )
+    ]
+
+
+def outcome(rows: DataFrame, status: str = "status_code") -> DataFrame:
+    """One row with the columns of ``outcome_columns``."""
+    return rows.agg(*outcome_columns(status))

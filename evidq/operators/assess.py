@@ -66,7 +66,9 @@ def records_as_of(evidence: DataFrame, policy, as_of_ns: int, epoch: int, size:
 def with_freshness(records: DataFrame, views: DataFrame, policy, as_of_ns: int, epoch: int, as_of_wall_ns: int | None = None) -> DataFrame:
     """Records of declared sources with validity_ns, age_ns, fresh and the candidate value, rate or reason."""
     spark = records.sparkSession
-    declared = views.where("measured").select(*METRIC, "source_id", "source_incarnation", F.col("validity_ns").alias("declared_validity_ns"))
+    # of two declarations of one source the one without scope comes first
+    declared = views.where("measured").groupBy(*METRIC, "source_id", "source_incarnation")
+    declared = declared.agg(F.min_by("validity_ns", "scoped").alias("declared_validity_ns"))
     rules = policy.rule_frame(spark).select("family", "name", "rule_validity_ns")
     rows = records.join(declared, [*METRIC, "source_id", "source_incarnation"])
     rows = rows.join(F.broadcast(rules), ["family", "name"], "left").join(F.broadcast(policy.freshness_frame(spark)), "family", "left")
@@ -98,8 +100,9 @@ def effective_validity(declared: str) -> Column:
 def _cells(views: DataFrame, lane: int | None = None) -> DataFrame:
     """What is to be assessed: each declared metric of each link, on its lanes or, without any, as a whole."""
     measured = F.col("measured")
-    order = F.struct("source_id", "source_incarnation")
+    order = F.struct("source_id", "source_incarnation", "scoped")
     out = views.groupBy(*METRIC).agg(
+        F.coalesce(F.bool_or(~measured), F.lit(False)).alias("refused"),
         F.count_if(measured).cast("int").alias("sources_declared"),
         F.coalesce(F.max(F.when(measured & F.col("lanes_declared"), F.col("lane_count"))), F.lit(0)).alias("lanes"),
         F.min_by(F.when(measured, F.col("validity_ns")), F.when(measured, order)).alias("first_validity_ns"),
@@ -172,7 +175,7 @@ def assess_lanes(records: DataFrame, views: DataFrame, policy, as_of_ns: int, ep
     lower = F.when(n("outranked") > 0, "lower-authority-ignored")
     ended = F.when(n("live") == 0, "recovered-evidence-only").otherwise("evidence-expired")
     broken = F.coalesce(F.when(F.col("counter_reason") != "none", F.col("counter_reason")), F.lit("counter-baseline-only"))
-    last = [of("declared-unsupported"), of("no-evidence"), of(ended), of(broken), of(lower, "equal-authority-disagreement"), of(lower, "no-rule-for-metric")]
+    last = [of(F.when(F.col("refused"), "declared-unsupported").otherwise("metric-not-declared")), of("no-evidence"), of(ended), of(broken), of(lower, "equal-authority-disagreement"), of(lower, "no-rule-for-metric")]
     why = F.get(F.array(*last, of(lower, F.when(F.col("band_id").isNotNull(), "band-matched"))), F.col("_step"))
     notes = F.coalesce("notes", F.array().cast("array<string>"))
     validity = effective_validity("first_validity_ns")
@@ -197,6 +200,17 @@ def assess_lanes(records: DataFrame, views: DataFrame, policy, as_of_ns: int, ep
     )
 
 
+def one_lane(lanes: DataFrame) -> DataFrame:
+    """Assessments of a single lane as they stand, with the columns of ``roll_up_lanes``."""
+    return lanes.withColumns({"lanes": F.lit(0), "missing_lanes": F.array().cast("array<int>")}).select(*METRIC, *_ROLLED)
+
+
+_ROLLED = (
+    "lanes", "state", "confidence_rank", "reasons", "rules", "value", "rate_per_second", "interval_rate_per_second", "disagreement", "missing_lanes",
+    "sources_declared", "sources_with_evidence", "sources_fresh", "sources_conflicting", "evidence", "newest_age_ns",
+)
+
+
 def roll_up_lanes(lanes: DataFrame, policy) -> DataFrame:
     """One assessment per link and metric: the worst lane speaks, unmeasured lanes make it incomplete at least."""
     severity = rank("state", policy.severity)
@@ -231,8 +245,11 @@ def roll_up_lanes(lanes: DataFrame, policy) -> DataFrame:
     )
 
 
-def roll_up_links(metrics: DataFrame, policy, registry: DataFrame | None = None) -> DataFrame:
-    """One report per link: worst state, least confidence, all reasons in the order of metrics, evidence counts."""
+def roll_up_links(metrics: DataFrame, policy, registry: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """One report per link: worst state, least confidence, all reasons in the order of metrics, evidence counts.
+
+    With ``links``, each of them gets a report: one without any declared metric is unsupported.
+    """
     severity = rank("state", policy.severity)
     ordered = F.array_sort(F.collect_list(F.struct(rank("family", FAMILIES).alias("f"), "name", "reasons")))
     count = lambda f: F.sum(F.size(F.filter("evidence", f)))
@@ -242,6 +259,10 @@ def roll_up_links(metrics: DataFrame, policy, registry: DataFrame | None = None)
         F.sum(F.size("evidence")).alias("evidence_considered"), count(lambda e: e["fresh"]).alias("evidence_fresh"),
         count(lambda e: e["origin"] == "recovered").alias("evidence_recovered"), (count(lambda e: e["origin"] == "live") > 0).alias("evidence_present"),
     )
+    if links is not None:
+        empty = {"_worst": "unsupported", "_confidence": 0, "_clash": False, "evidence_considered": 0, "evidence_fresh": 0, "evidence_recovered": 0, "evidence_present": False}
+        out = links.select(*LINK).distinct().join(out, LINK, "left").fillna(empty)
+        out = out.withColumn("_reasons", F.coalesce("_reasons", F.array(F.lit("no-sources-for-link"))))
     registered, superseded = F.lit(True), F.lit(False)
     if registry is not None:
         known = registry.select(*LINK, "superseded", F.lit(True).alias("_known"))
@@ -258,9 +279,10 @@ def roll_up_links(metrics: DataFrame, policy, registry: DataFrame | None = None)
     )
 
 
-def assess(records: DataFrame, views: DataFrame, policy, as_of_ns: int, epoch: int, as_of_wall_ns: int | None = None) -> DataFrame:
-    """Assessments per link and metric of records that ``current_records`` or ``records_as_of`` gave."""
-    return roll_up_lanes(assess_lanes(records, views, policy, as_of_ns, epoch, as_of_wall_ns), policy)
+def assess(records: DataFrame, views: DataFrame, policy, as_of_ns: int, epoch: int, as_of_wall_ns: int | None = None, lane: int | None = None) -> DataFrame:
+    """Assessments per link and metric, or of one lane, of records that ``current_records`` or ``records_as_of`` gave."""
+    lanes = assess_lanes(records, views, policy, as_of_ns, epoch, as_of_wall_ns, lane)
+    return roll_up_lanes(lanes, policy) if lane is None else one_lane(lanes)
 
 
 def report(records: DataFrame, views: DataFrame, policy, as_of_ns: int, epoch: int, registry: DataFrame | None = None) -> DataFrame:

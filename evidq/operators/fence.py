@@ -21,21 +21,25 @@ def digest() -> Column:
     return F.sha2(F.concat_ws("\x1f", *(F.coalesce(p, F.lit("\x1e")) for p in parts)), 256)
 
 
-def fenced(rows: DataFrame, window: int = WINDOW, key: list[str] | None = None, digest_column: str | None = None) -> DataFrame:
+def fenced(rows: DataFrame, window: int = WINDOW, key: list[str] | None = None, digest_column: str | None = None, seeds: DataFrame | None = None) -> DataFrame:
     """``rows`` with fence: accepted, reordered, duplicate, id-mismatch or fenced.
 
     ``rows`` are admitted readings with a unique ``ordinal``. The watermark is the largest sequence so far; a sequence
     less than ``window`` behind it that was seen is a duplicate or, with another digest, an id-mismatch; one more than
     ``window`` behind is fenced; others behind it are reordered and feed nothing. Repeats and fenced rows never raise
-    the watermark, so plain running windows over all rows give it.
+    the watermark, so plain running windows over all rows give it. ``seeds`` (key, sequence, ordinal, digest) are
+    arrivals that are known of but no longer held.
     """
     key = key or STREAM
     before = Window.partitionBy(*key).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     same = Window.partitionBy(*key, "sequence").orderBy("ordinal")
     hashed = rows.withColumn("_digest", digest() if digest_column is None else F.col(digest_column))
-    seen = hashed.withColumns(
-        {"_mark": F.max("sequence").over(before), "_nth": F.row_number().over(same), "_first": F.first("_digest").over(same)}
-    )
+    if seeds is not None:
+        known = seeds.select(*key, "sequence", "ordinal", F.col("digest").alias("_digest"), F.lit(True).alias("_seed"))
+        hashed = hashed.withColumn("_seed", F.lit(False)).unionByName(known, allowMissingColumns=True)
+    # the mark first: rows that are dealt by stream need no second shuffle for the windows of its sequences
+    seen = hashed.withColumn("_mark", F.max("sequence").over(before))
+    seen = seen.withColumns({"_nth": F.row_number().over(same), "_first": F.first("_digest").over(same)})
     behind = F.col("_mark") - F.col("sequence")
     status = (
         F.when((F.col("_nth") > 1) & (behind < window), F.when(F.col("_digest") == F.col("_first"), "duplicate").otherwise("id-mismatch"))
@@ -43,7 +47,8 @@ def fenced(rows: DataFrame, window: int = WINDOW, key: list[str] | None = None,
         .when(behind > 0, "reordered")
         .otherwise("accepted")
     )
-    return seen.withColumn("fence", status).drop("_digest", "_mark", "_nth", "_first")
+    out = seen.withColumn("fence", status).drop("_digest", "_mark", "_nth", "_first")
+    return out if seeds is None else out.where("NOT _seed").drop("_seed")
 
 
 def latest(fed: DataFrame, key: list[str] | None = None, order: str = "sequence") -> DataFrame:

@@ -110,32 +110,50 @@ def _scoped(current: DataFrame, links: DataFrame) -> DataFrame:
     own = links.select("link_id", "link_generation")
     on = (F.col("scope_id") == F.col("link_id")) & (F.col("scope_generation") == F.col("link_generation"))
     scoped = current.where("scope_id IS NOT NULL").join(own, on)
-    # a registry holds at most 1024 declarations
+    # the limits document bounds the declarations, so that this side stays small
     everywhere = own.join(F.broadcast(current.where("scope_id IS NULL")))
     columns = ["link_id", "link_generation", *current.columns]
     return scoped.select(columns).unionByName(everywhere.select(columns))
 
 
 def views(declared: DataFrame, links: DataFrame) -> DataFrame:
-    """One row per link, metric and source that declares it, measured or not.
+    """One row per link, metric and declaration that lists it, measured or not.
 
-    Columns: link, family, name, source, and measured, lanes_declared, lane_count, validity_ns (null if unsupported).
+    Columns: link, family, name, source, scoped, and measured, lanes_declared, lane_count, validity_ns (null if
+    unsupported). A source that declares a metric with and without scope has two rows.
     """
-    on = _scoped(effective(declared), links)
-    key = ["link_id", "link_generation", "source_id", "source_incarnation"]
+    on = _scoped(effective(declared), links).withColumn("scoped", F.col("scope_id").isNotNull())
+    key = ["link_id", "link_generation", "source_id", "source_incarnation", "scoped"]
     measured = on.select(*key, F.explode("metrics").alias("m"))
     measured = measured.select(*key, "m.family", "m.name", F.lit(True).alias("measured"), "m.lanes_declared", "m.lane_count", "m.validity_ns")
     missing = on.select(*key, F.explode("unsupported").alias("m")).select(*key, "m.family", "m.name", F.lit(False).alias("measured"))
-    # a source that declares a metric with and without scope stands once, the scopeless way
-    rows = measured.unionByName(missing, allowMissingColumns=True)
-    return rows.groupBy(*key, "family", "name", "measured").agg(
-        F.max("lanes_declared").alias("lanes_declared"), F.max("lane_count").alias("lane_count"), F.max("validity_ns").alias("validity_ns")
-    )
+    return measured.unionByName(missing, allowMissingColumns=True)
+
+
+def requested(views: DataFrame, links: DataFrame, metrics: Iterable[tuple[str, str]], unsupported: Iterable[tuple[str, str]] = ()) -> DataFrame:
+    """``views`` narrowed to the metrics asked for; one that nobody declares on a link that has views stands alone.
+
+    A metric that stands alone has no source. It is declared unsupported if it is in ``unsupported``, the policy's list.
+    """
+    asked = sorted(set(metrics), key=lambda m: (FAMILIES.index(m[0]), m[1]))
+    listed = set(unsupported)
+    spark = views.sparkSession
+    rows = [(f, n, (f, n) in listed) for f, n in asked]
+    wanted = F.broadcast(spark.createDataFrame(rows, "family string, name string, listed boolean"))
+    held = views.join(wanted.select("family", "name"), ["family", "name"], "left_semi").select(views.columns)
+    on = links.select("link_id", "link_generation").join(views.select("link_id", "link_generation").distinct(), ["link_id", "link_generation"], "left_semi")
+    # the metrics of one query are few
+    alone = on.join(wanted).join(held.select("link_id", "link_generation", "family", "name").distinct(), ["link_id", "link_generation", "family", "name"], "left_anti")
+    alone = alone.select("link_id", "link_generation", "family", "name", F.when(F.col("listed"), F.lit(False)).alias("measured"))
+    return held.unionByName(alone, allowMissingColumns=True)
 
 
 def view_summary(declared: DataFrame, links: DataFrame) -> DataFrame:
-    """One row per link and metric: who declares it, who says it isn't measured, how many lanes; metrics in order."""
-    names = lambda f: F.array_sort(F.collect_set(F.when(f, F.concat_ws("@", "source_id", "source_incarnation"))))
+    """One row per link and metric: who declares it, who says it isn't measured, how many lanes; sources in order.
+
+    ``ordered`` gives the rows in the order of metrics.
+    """
+    names = lambda f: F.array_sort(F.collect_list(F.when(f, F.concat_ws("@", "source_id", "source_incarnation"))))
     out = views(declared, links).groupBy("link_id", "link_generation", "family", "name")
     out = out.agg(
         names(F.col("measured")).alias("declared_by"),
@@ -145,6 +163,11 @@ def view_summary(declared: DataFrame, links: DataFrame) -> DataFrame:
     return out.withColumn("family_rank", rank("family", FAMILIES))
 
 
+def ordered(summary: DataFrame) -> DataFrame:
+    """Rows of ``view_summary`` by link, family as the data model ranks it, and name."""
+    return summary.orderBy("link_id", "link_generation", "family_rank", "name")
+
+
 def gate(declared: DataFrame, links: DataFrame) -> DataFrame:
     """What decides whether a source's reading is let in: per link and source, its first declaration in key order.
 

@@ -1,23 +1,46 @@
-"""The event log: an append-only Parquet table of typed records, with recovery, snapshots and checks.
+"""The event log: append-only Parquet tables of typed records, with recovery, snapshots and checks.
 
-Writes commit as Spark's file output does, so a torn tail can't be read; a new snapshot is written beside the log and
-named by the next version, and readers take the newest complete one.
+Each kind of record has its own folder. Writes commit as Spark's file output does, so a torn tail can't be read. A
+compacted log is written beside the old one as the next version, and counts once its last file, the mark, stands.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import retention
+from ..functions.vocabulary import STREAM
+from ..operators import fence, links, retention
 from ..plans.catalog import Refused
 
 # Kinds of records.
 KINDS = {"capability": 1, "policy": 2, "link-observed": 3, "link-generation-advanced": 4, "evidence": 5, "snapshot": 6, "dedup-window": 7}
 BUCKETS = 64
+SCHEMAS = {
+    "evidence": (
+        "ordinal long, link_id string, link_generation long, source_id string, source_incarnation long, sequence long, family string, name string, "
+        "lane int, unit string, semantics string, gauge_value double, gauge_validity_ns long, counter_value decimal(20,0), counter_width string, "
+        "reset_declared boolean, observed_ns long, observed_synchronized boolean, interval_ns long, authority long, transport string, "
+        "evidence_class string, prov_origin string, producer string, received_wall_ns long, received_steady_ns long, received_epoch long, "
+        "origin string, link_bucket int"
+    ),
+    "link-observed": "link_id string, link_generation long, first_ordinal long, evidence_count long, through long",
+    "dedup-window": (
+        "link_id string, link_generation long, family string, name string, lane int, source_id string, source_incarnation long, "
+        "sequence long, ordinal long, digest string"
+    ),
+    "policy": "position long, body string",
+    "capability": "position long, body string",
+}
+
+
+def _bucket(link):
+    return F.pmod(F.xxhash64(link), F.lit(BUCKETS)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -25,57 +48,119 @@ class Log:
     spark: SparkSession
     path: str
 
+    def _at(self, path: str):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
+
+    def _exists(self, path: str) -> bool:
+        fs, hadoop = self._at(path)
+        return fs.exists(hadoop)
+
     def _version(self) -> int:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs, hadoop = self._at(self.path)
         if not fs.exists(hadoop):
             return 0
         names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-        done = [int(n[1:]) for n in names if n.startswith("v") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return max(done, default=0)
+        return max((int(n[1:]) for n in names if n.startswith("v") and self._exists(f"{self.path}/{n}/_COMPLETE")), default=0)
 
-    def append(self, rows: DataFrame, kind: str = "evidence") -> None:
-        """Add records of one kind; spread by link, so that a link's history is read from few files."""
+    def _folder(self, kind: str, version: int | None = None) -> str:
         if kind not in KINDS:
             raise Refused("invalid", f"no such kind: {kind}")
-        tagged = rows.withColumns({"kind": F.lit(kind), "link_bucket": F.pmod(F.xxhash64("link_id"), F.lit(BUCKETS)).cast("int")})
-        tagged.write.mode("append").partitionBy("kind", "link_bucket").parquet(f"{self.path}/v{self._version()}")
-
-    def read(self, kind: str = "evidence", epoch: int | None = None) -> DataFrame:
-        """Records of a kind. With the epoch of this run, evidence of any other comes back as recovered."""
-        rows = self.spark.read.parquet(f"{self.path}/v{self._version()}").where(F.col("kind") == kind).drop("kind", "link_bucket")
+        return f"{self.path}/v{self._version() if version is None else version}/kind={kind}"
+
+    def append(self, rows: DataFrame, kind: str = "evidence", version: int | None = None) -> None:
+        """Add records of one kind; evidence is spread by link, so that a link's history is read from few files."""
+        folder = self._folder(kind, version)
+        if kind == "evidence":
+            rows.withColumn("link_bucket", _bucket("link_id")).write.mode("append").partitionBy("link_bucket").parquet(folder)
+        else:
+            rows.write.mode("append").parquet(folder)
+
+    def read(self, kind: str = "evidence", epoch: int | None = None, links: Iterable[str] | None = None) -> DataFrame:
+        """Records of a kind, none if there are none yet. With the epoch of this run, evidence of any other is recovered.
+
+        With ``links``, only these links' evidence, from their own buckets.
+        """
+        folder, schema = self._folder(kind), SCHEMAS.get(kind)
+        if not self._exists(folder):
+            return self.spark.createDataFrame([], schema).drop("link_bucket")
+        rows = self.spark.read.schema(schema).parquet(folder)
+        if links is not None:
+            names = sorted(set(links))
+            rows = rows.where(F.col("link_id").isin(names) & F.col("link_bucket").isin([_bucket(F.lit(x)) for x in names]))
+        rows = rows.drop("link_bucket")
         if epoch is None or kind != "evidence":
             return rows
         return rows.withColumn("origin", F.when(F.col("received_epoch") == epoch, F.col("origin")).otherwise("recovered"))
 
-    def link(self, link_id: str) -> DataFrame:
-        """One link's evidence, read from its bucket alone."""
-        bucket = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(link_id)), F.lit(BUCKETS)).cast("int")).first()[0]
-        rows = self.spark.read.parquet(f"{self.path}/v{self._version()}")
-        return rows.where((F.col("kind") == "evidence") & (F.col("link_bucket") == bucket) & (F.col("link_id") == link_id))
-
-    def compact(self, rows: DataFrame, ring: int = retention.RING) -> None:
-        """Write what retention keeps of fenced ``rows`` as the next version; the old one stays until it is deleted."""
+    def append_document(self, kind: str, position: int, body: dict) -> None:
+        """Add a policy or a declaration, which stand as JSON in the order of their positions."""
+        self.append(self.spark.createDataFrame([(position, json.dumps(body))], SCHEMAS[kind]).coalesce(1), kind)
+
+    def documents(self, kind: str) -> list[dict]:
+        """The policies or declarations in order; the limits document bounds how many there are."""
+        return [json.loads(r.body) for r in self.read(kind).orderBy("position").collect()]
+
+    def registry(self) -> DataFrame:
+        """Links and generations seen, with what a compacted log remembers of the rows that it no longer holds."""
+        old = self.read("link-observed")
+        through = old.agg(F.coalesce(F.max("through"), F.lit(-1)).alias("through"))
+        rows = self.read().select("link_id", "link_generation", "ordinal").join(F.broadcast(through)).where("ordinal > through")
+        return links.registry(rows, old)
+
+    def fenced(self, epoch: int | None = None, window: int = fence.WINDOW, links: Iterable[str] | None = None) -> DataFrame:
+        """Evidence with its fate at the fence, which also knows the sequences that a compacted log remembers."""
+        seeds = self.read("dedup-window")
+        if links is not None:
+            seeds = seeds.where(F.col("link_id").isin(sorted(set(links))))
+        return fence.fenced(self.read(epoch=epoch, links=links), window, seeds=seeds)
+
+    def dedup_window(self, window: int = fence.WINDOW) -> DataFrame:
+        """Per stream the sequences that a restart must still recognise, with when they came and what they said."""
+        columns = [*STREAM, "sequence", "ordinal", "digest"]
+        rows = self.read().withColumn("digest", fence.digest()).select(columns).unionByName(self.read("dedup-window").select(columns))
+        rows = rows.withColumn("_mark", F.max("sequence").over(Window.partitionBy(*STREAM))).where(F.col("_mark") - F.col("sequence") < window)
+        # of equal sequences the first arrival counts
+        return rows.groupBy(*STREAM, "sequence").agg(F.min_by(F.struct("ordinal", "digest"), "ordinal").alias("r")).select(*STREAM, "sequence", "r.*")
+
+    def compact(self, rows: DataFrame, ring: int = retention.RING, window: int = fence.WINDOW) -> None:
+        """Write the next version: documents, links, what retention keeps of fenced ``rows``, and the dedup windows.
+
+        The old version stays until it is deleted.
+        """
+        version = self._version() + 1
+        for kind in ("policy", "capability"):
+            self.append(self.read(kind), kind, version)
+        through = self.read().agg(F.max("ordinal").alias("through"))
+        observed = self.registry().select("link_id", "link_generation", "first_ordinal", "evidence_count")
+        self.append(observed.join(F.broadcast(through)), "link-observed", version)
         kept = retention.retained(rows, ring).drop("fence")
-        tagged = kept.withColumns({"kind": F.lit("evidence"), "link_bucket": F.pmod(F.xxhash64("link_id"), F.lit(BUCKETS)).cast("int")})
-        tagged.write.partitionBy("kind", "link_bucket").parquet(f"{self.path}/v{self._version() + 1}")
+        self.append(kept, "evidence", version)
+        again = kept.select(*(F.col(c).alias(f"_{c}") for c in [*STREAM, "ordinal"]))
+        met = F.col("ordinal") == F.col("_ordinal")
+        for c in STREAM:
+            met = met & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        self.append(self.dedup_window(window).join(again, met, "left_anti"), "dedup-window", version)
+        fs, mark = self._at(f"{self.path}/v{version}/_COMPLETE")
+        fs.create(mark).close()
 
     def verify(self) -> DataFrame:
-        """One row: records, distinct ordinals, gaps between them, and whether each ordinal stands once."""
+        """One row: records, distinct ordinals, gaps between them, whether each stands once, and whether all kinds are known."""
         rows = self.read().select("ordinal", "link_id")
         # gaps are found per range of ordinals, so that no task sees them all
         span = rows.groupBy(F.floor(F.col("ordinal") / 100_000).alias("range")).agg(
             F.count("*").alias("n"), F.count_distinct("ordinal").alias("distinct"), F.min("ordinal").alias("low"), F.max("ordinal").alias("high")
         )
         total = span.agg(F.sum("n").alias("records"), F.sum("distinct").alias("distinct"), F.min("low").alias("first"), F.max("high").alias("last"))
-        return total.withColumns({"gaps": F.col("last") - F.col("first") + 1 - F.col("distinct"), "unique": F.col("records") == F.col("distinct")})
+        total = total.withColumns({"gaps": F.col("last") - F.col("first") + 1 - F.col("distinct"), "unique": F.col("records") == F.col("distinct")})
+        return total.withColumn("kinds_known", F.lit(not self.unknown_kinds()))
+
+    def unknown_kinds(self) -> list[str]:
+        """Folders of the current version whose kind isn't one of this log's."""
+        fs, folder = self._at(f"{self.path}/v{self._version()}")
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(n.removeprefix("kind=") for n in names if n.startswith("kind=") and n.removeprefix("kind=") not in KINDS)
 
     def dump(self, limit: int = 100) -> DataFrame:
         """The first records by ordinal."""
         return self.read().orderBy("ordinal").limit(limit)
-
-    def dedup_window(self, window: int = 256) -> DataFrame:
-        """Per stream the sequences that a restart must still recognise."""
-        newest = Window.partitionBy(*retention.STREAM)
-        rows = self.read().withColumn("_mark", F.max("sequence").over(newest))
-        return rows.where(F.col("_mark") - F.col("sequence") < window).drop("_mark")

@@ -41,7 +41,7 @@ def engine(spark, tmp_path, rows, *, sources=("src-a", "src-b"), policy=DEFAULT,
 
 
 def rx(e, seconds, past=False):
-    return e._metrics(T0 + int(seconds * S), past).where("name = 'rx.level'").first()
+    return e.metrics(T0 + int(seconds * S), past=past).where("name = 'rx.level'").first()
 
 
 def test_healthy_then_stale(spark, tmp_path):
@@ -106,7 +106,7 @@ def test_rate_needs_two_readings(spark, tmp_path):
     states = []
     for n, at in ((1, 0), (2, 1), (3, 40)):
         e = engine(spark, tmp_path / str(n), rows.where(f"ordinal < {n}"), metrics=(UNC,), sources=("src-a",))
-        states.append(e._metrics(T0 + at * S).first())
+        states.append(e.metrics(T0 + at * S).first())
     assert [r.state for r in states] == ["incomplete", "healthy", "incomplete"]
     assert states[0].reasons == ["counter-baseline-only"] and states[1].rate_per_second == 0.0
     assert states[2].interval_rate_per_second == pytest.approx(5 / 39)
