@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,6 +16,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows up to which a side may be broadcast; larger sides are joined by a shuffle.
 BROADCAST_ROWS = 10_000
+#: Rows of a pair of ids up to which it may be broadcast, a few megabytes.
+BROADCAST_IDS = 200_000
+#: Rows of narrow tables in one file.
+ROWS_A_FILE = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,17 +27,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where the session names none (tests)."""
+    """The cluster's spark.checkpoint.dir. Only a session in one process (tests) may do without: it gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="evidq-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
+
+    ``rows`` is an upper bound of its rows, if one is known; the files then hold up to ROWS_A_FILE rows each, as many
+    small files cost more than they hold.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
@@ -59,10 +72,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def sliced(it: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, as whole texts can be long."""
+    """The same rows in smaller batches, as whole texts can be long; at the end Arrow's spare memory goes back."""
     for batch in it:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def non_empty(column: str | F.Column) -> F.Column:
