@@ -46,7 +46,7 @@ def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vocabulary = bpe.Vocabulary(spark, bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
     encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
-    decoded = vocabulary.decoded(encoded, "ids", "decoded")
+    decoded = bpe.decode(encoded, vocabulary.ranks)
     return decoded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -117,12 +117,33 @@ def test_byte_level_bpe(spark, docs, rows):
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     model = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    vocabulary = bpe.Vocabulary(spark, ranks)
+    rng = random.Random(4)
+    long = ["".join(rng.choices("abcdefABC0123456789+/é", k=n)) for n in (200, 20_000)]
+    more = spark.createDataFrame([(10_000 + i, x, "en", "s", "x", "y") for i, x in enumerate(long)] + [(None, "no id", "en", "s", "x", "y")], SCHEMA)
+    all_ = [*((r[0], r[1]) for r in rows), (10_000, long[0]), (10_001, long[1]), (None, "no id")]
+    vocabulary, key = bpe.Vocabulary(spark, ranks), lambda r: (r[0] is None, r[0] or 0)
     for most in (1 << 19, 20):
-        out = vocabulary.decoded(bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, most), "ids", "decoded").collect()
-        expect = [(r[0], ",".join(map(str, model.encode_ordinary(r[1] or ""))), (r[1] or "").encode()) for r in rows]
-        assert sorted((r.doc_id, r.ids, bytes(r.decoded)) for r in out) == sorted(expect)
+        out = bpe.decode(bpe.encode(docs.union(more), vocabulary, public_tokenizers.PATTERN, most), ranks).collect()
+        expect = [(i, ",".join(map(str, model.encode_ordinary(x or ""))), (x or "").encode()) for i, x in all_]
+        assert sorted(((r.doc_id, r.ids, bytes(r.decoded)) for r in out), key=key) == sorted(expect, key=key)
         assert all(r.n_tokens == (r.ids.count(",") + 1 if r.ids else 0) for r in out)
+    empty = bpe.encode(docs.limit(0), vocabulary, public_tokenizers.PATTERN)
+    assert bpe.decode(empty, ranks).collect() == []
+
+
+def test_fold_and_merges_agree(spark):
+    """The fold of Spark expressions and the merges of tasks give the library's ids for words of any make."""
+    import tiktoken
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    model = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(6)
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 40))) for letters in ("abcdeth in", "eé日本 ", "aab", "".join(map(chr, range(32, 600)))) for _ in range(60)]
+    v = bpe.Vocabulary(spark, ranks)
+    got = v.encoded(spark.createDataFrame([(w,) for w in words], "word string"), "ids", lambda x: bpe.fold(x, F.col("word"))).collect()
+    for r in got:
+        expect = model.encode_ordinary(r.word)
+        assert r.ids == ",".join(map(str, expect)) and bpe.merged(r.word.encode(), ranks) == expect
 
 
 def test_fertility(docs, rows):
@@ -161,7 +182,6 @@ def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     got = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).collect()
     ids = {r[0]: model.encode(r[1] or "", add_special_tokens=False).ids + [2] for r in rows}
     total, per = Counter(), defaultdict(list)
@@ -182,6 +202,21 @@ def test_packing(docs, rows):
     assert len(per) <= plain.max() + 1
 
 
+def test_encoder_gives_the_ids_of_the_tokenizer():
+    """Of whole texts and of the parts that long ones are cut into, special tokens and odd white space included."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model, encode = Tokenizer.from_file(path), packing.encoder(path, public_tokenizers.PATTERN)
+    rng = random.Random(8)
+    for _ in range(200):
+        text = "".join(rng.choices(["word", " ", "  ", "\n", "\t ", "'s", " 12", "é", "日本", "\u00a0", "\x1c", "<|endoftext|>", ".", " \n", chr(rng.randrange(0xD000))], k=300))
+        parts, expect = list(packing.parted(text, 5)), model.encode(text, add_special_tokens=False).ids
+        assert "".join(parts) == text and len(parts) > 3
+        assert encode(text).tolist() == expect and [i for x in parts for i in encode(x).tolist()] == expect
+    assert encode("").tolist() == []
+
+
 def test_merged_rounds_lose_nothing(spark):
     rng = random.Random(2)
     rows = [(i, 0, 0, rng.randint(1, 1024), i) for i in range(3000)]
