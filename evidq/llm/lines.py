@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import BROADCAST_ROWS, dropped, small, stored
 
 _BLANK = " \t\r\x0b\x0c"
 
@@ -29,43 +29,49 @@ def spread_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, min
     lines = _lines(docs, site, min_chars)
     several = lines.groupBy("h", "g").agg(F.min("site").alias("low"), F.max("site").alias("high")).where("low <> high").select("h", "g")
     several = stored(several, "several")
-    on_sites = lines.join(small(several), ["h", "g"])
+    n = several.count()
+    on_sites = lines.join(F.broadcast(several) if n <= BROADCAST_ROWS else several, ["h", "g"])
     sketches = on_sites.groupBy("h", "g").agg(
         F.hll_sketch_agg("site", lg_k).alias("sketch"),
         F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "pos"))).alias("first"),
     )
-    sketches = stored(sketches.select("h", "g", "first", F.hll_sketch_estimate("sketch").alias("sites")), "sketches")
+    sketches = stored(sketches.select("h", "g", "first", F.hll_sketch_estimate("sketch").alias("sites")), "sketches", n)
     band = max(1, round(6 * 1.04 / 2 ** (lg_k / 2) * min_sites))
-    near = stored(sketches.where(f"sites BETWEEN {min_sites - band} AND {min_sites + band}").select("h", "g", "first"), "near")
+    near = sketches.where(f"sites BETWEEN {min_sites - band} AND {min_sites + band}").select("h", "g", "first")
     exact = lines.join(small(near), ["h", "g"]).select("h", "g", "first", "site").distinct()
     exact = exact.groupBy("h", "g", "first").agg(F.count("site").alias("sites")).where(f"sites >= {min_sites}")
     clear = sketches.where(f"sites > {min_sites + band}")
-    return stored(clear.select("h", "g", "first").union(exact.select("h", "g", "first")), "spread")
+    out = stored(clear.select("h", "g", "first").union(exact.select("h", "g", "first")), "spread", n)
+    dropped(several, sketches)
+    return out
 
 
 def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, min_chars: int = 1, lg_k: int = 12) -> DataFrame:
     """``docs`` with its columns, and n_lines and n_removed last; text is without the lines found on many sites.
 
     A line is what stands between newlines, compared without the blanks around it. Blank lines always stay; every other
-    line is counted, unless a larger ``min_chars`` exempts those of fewer characters. A line on at least ``min_sites`` distinct values of ``site`` is removed everywhere but where it comes
-    first: in the smallest doc_id, at its first place there. A null site is no site, but its documents lose lines too;
+    line is counted, unless a larger ``min_chars`` exempts those of fewer characters. A line on at least ``min_sites``
+    distinct values of ``site`` is removed everywhere but where it comes first: in the smallest doc_id, at its first place there. A null site is no site, but its documents lose lines too;
     rows with a null doc_id never come first. A null text stays null, with no lines. Rows of equal doc_id and text
-    are treated alike. A document can end up empty; its row stays. Other columns pass through, whatever their names.
+    are treated alike. A document can end up empty; its row stays. Other columns pass through, whatever their names, but
+    for n_lines and n_removed, which are replaced.
     """
     spread = spread_lines(docs, site, min_sites, min_chars, lg_k)
     hits = _lines(docs, site, min_chars).join(small(spread), ["h", "g"])
     first = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.pos") == F.col("pos"))
     hits = hits.where(~F.coalesce(first, F.lit(False))).groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone"))
-    hits = stored(hits, "hits").select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash"), F.col("gone").alias("_hit_gone"))
-    met = docs["doc_id"].eqNullSafe(F.col("_hit_id")) & (F.xxhash64(docs["text"]) == F.col("_hit_hash"))
-    both = docs.join(small(hits), met, "left")
-    lines = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_hit_gone")
-    text = F.when(F.col("_hit_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    n_gone = F.coalesce(F.size("_hit_gone"), F.lit(0)).cast("long")
+    hits = stored(hits, "hits").select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "gone")
+    # the row as one column, so that no name of its columns can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    met = F.col("row.doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("row.text") == F.col("hit_hash"))
+    both = rows.join(small(hits), met, "left")
+    lines = F.split("row.text", "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    n_gone = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return both.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in kept), n_lines.alias("n_lines"), n_gone.alias("n_removed"))
+    return both.select(*((text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in kept), n_lines.alias("n_lines"), n_gone.alias("n_removed"))
 
 
 #: The query's SQL exempts lines of fewer characters.

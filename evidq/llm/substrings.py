@@ -3,7 +3,7 @@
 A window's hash is a polynomial in the hashes of its words, so all windows of a text come from a few passes. A window
 can only stand in two documents if its anchor does: the run of ``anchor`` words inside it with the smallest hash, which
 is the same wherever the window stands. Anchors are a fraction of the windows; they are counted first, and only windows
-with an anchor in two documents are counted in turn. What of a document's windows also starts in one with a smaller id
+with an anchor in two documents are counted in turn, by 96 bits of hashes. What of a document's windows also starts in one with a smaller id
 is merged into maximal intervals and cut out.
 """
 
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import dropped, sliced, small, stored
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 1 << 18
+_BASE, _CHECK_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_CHUNK = 1 << 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -29,17 +29,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _runs(words: np.ndarray, n: int) -> np.ndarray:
+def _runs(words: np.ndarray, n: int, base: np.uint64 = _BASE) -> np.ndarray:
     """Rabin-Karp hashes modulo 2^64 of all runs of n words."""
     size = len(words) - n + 1
     if size < 1:
         return np.empty(0, np.uint64)
     h = np.zeros(size, np.uint64)
     for j in range(n):
-        h = h * _BASE + words[j : j + size]
+        h = h * base + words[j : j + size]
     return _mix(h)
 
 
+def _checks(words: np.ndarray, n: int) -> np.ndarray:
+    """32 bits more of every run, by another polynomial."""
+    return (_runs(words ^ (words >> np.uint64(29)), n, _CHECK_BASE) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _windows(words: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and anchor of every window."""
     full, part = _runs(words, width), _runs(words, anchor)
@@ -90,13 +95,16 @@ def _repeated(width: int, anchor: int):
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(it):
-            ids, known, out, owner = batch.column("doc_id").to_pylist(), batch.column("hashes"), [], []
+            ids, known, out, owner, check = batch.column("doc_id").to_pylist(), batch.column("hashes"), [], [], []
             for i, _, h in _hashed(batch):
                 full, least = _windows(h, width, anchor)
                 mine = known[i].values.to_numpy().astype(np.uint64)
-                out.append(np.unique(full[np.isin(least, mine)]))
-                owner.append(np.full(len(out[-1]), ids[i], np.int64))
-            yield pa.record_batch([_longs(out), _longs(owner)], ["hash", "doc_id"])
+                hit = np.flatnonzero(np.isin(least, mine))
+                one, at = np.unique(full[hit], return_index=True)
+                out.append(one)
+                check.append(_checks(h, width)[hit[at]])
+                owner.append(np.full(len(one), ids[i], np.int64))
+            yield pa.record_batch([_longs(out), pa.array(np.concatenate([*check, np.empty(0, np.int32)])), _longs(owner)], ["hash", "check", "doc_id"])
 
     return batches
 
@@ -130,24 +138,25 @@ def _cut(width: int):
     return batches
 
 
-def _shared(hashes: DataFrame) -> DataFrame:
-    """Hashes that stand in two documents at least, with the smallest doc_id."""
-    both = hashes.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    return both.where("low <> high").select("hash", "low")
+def _shared(hashes: DataFrame, *key: str) -> DataFrame:
+    """Keys that stand in two documents at least, with the smallest doc_id."""
+    both = hashes.groupBy(*key).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    return both.where("low <> high").select(*key, "low")
 
 
 def repeated_windows(docs: DataFrame, width: int = 13, anchor: int = 6) -> DataFrame:
     """(doc_id, hashes): per document the hashes of its windows that also start in a document with a smaller id."""
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     anchors = stored(docs.mapInArrow(_anchors(width, anchor), "hash long, doc_id long"), "anchors")
-    shared = stored(_shared(anchors).select("hash"), "shared-anchors")
+    shared = stored(_shared(anchors, "hash").select("hash"), "shared-anchors")
     of_doc = anchors.join(small(shared), "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
     of_doc = stored(of_doc, "document-anchors")
     dropped(anchors, shared)
     windows = docs.join(small(of_doc, 10_000), "doc_id").select("doc_id", "text", "hashes")
-    windows = stored(windows.mapInArrow(_repeated(width, anchor), "hash long, doc_id long"), "windows")
-    shared = stored(_shared(windows), "shared-windows")
-    later = windows.join(small(shared), "hash").where("doc_id > low")
+    # windows are told apart by 96 bits: at 10^13 of them, two different ones are taken for equal with odds of 1 in 1000
+    windows = stored(windows.mapInArrow(_repeated(width, anchor), "hash long, check int, doc_id long"), "windows")
+    shared = stored(_shared(windows, "hash", "check"), "shared-windows")
+    later = windows.join(small(shared), ["hash", "check"]).where("doc_id > low")
     later = stored(later.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes")), "document-windows")
     dropped(of_doc, windows, shared)
     return later
@@ -161,8 +170,8 @@ def remove_repeats(docs: DataFrame, width: int = 13, anchor: int = 6, carried: S
     judged on the texts as given, and spans are the maximal intervals [start, end) of removed words. text is the kept
     words joined by one space if any was removed, else as it was; kept_sha256 is of the kept words so joined. Null
     texts stay null and have no words. Rows with a null doc_id lose nothing and take nothing. Rows that repeat a doc_id
-    are one document, none smaller than the other. Repeats inside a document stay. Other columns than those carried are ignored; an empty
-    table gives no rows.
+    are one document, none smaller than the other. Repeats inside a document stay. Other columns than those carried are
+    ignored; an empty table gives no rows.
     """
     later = repeated_windows(docs, width, anchor).withColumnRenamed("doc_id", "_of")
     rows = docs.select("doc_id", *carried, "text")
