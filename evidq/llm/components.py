@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     larger ones are shuffled, where adaptive execution splits nodes of many edges. Null ends and loops are ignored.
     """
     e = edges.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    e = stored(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    e = stored(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges", 2 * e.count())
     maps: list[DataFrame] = []
     nodes = None
     while n := e.count():

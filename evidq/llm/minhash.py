@@ -289,12 +289,13 @@ def _met(of: DataFrame, values: DataFrame, *columns: str) -> DataFrame:
     What isn't of a root's largest part is its left side and cut into sub-blocks i, everything is its right side and cut
     into sub-blocks j, so that each sub-block's sizes and rows are bounded. ``values`` (rep, *columns) are joined last.
     """
+    n = of.count()
     large = of.groupBy("root", "part").count().groupBy("root").agg(F.max_by("part", F.struct("count", "part")).alias("large"))
-    of = of.join(small(stored(large, "large"), BROADCAST_IDS), "root").withColumn("outside", F.col("part") != F.col("large"))
+    of = of.join(small(stored(large, "large", n), BROADCAST_IDS), "root").withColumn("outside", F.col("part") != F.col("large"))
     pieces = lambda f: F.ceil(F.greatest(F.sum(F.when(f, F.col("size"))) / _SHINGLES, F.count_if(f) / _BLOCK)).cast("int")
     size = of.groupBy("root").agg(pieces(F.col("outside")).alias("a"), pieces(F.lit(True)).alias("b")).where("a > 0")
     turn = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    of = of.join(small(stored(size, "sizes"), BROADCAST_IDS), "root").withColumns({"ti": turn("a"), "tj": turn("b")})
+    of = of.join(small(stored(size, "sizes", n), BROADCAST_IDS), "root").withColumns({"ti": turn("a"), "tj": turn("b")})
     spot = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
     own = F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda j: spot(F.col("ti"), j, F.when(j == F.col("tj"), 2).otherwise(0)))
     across = F.transform(F.sequence(F.lit(0), F.col("a") - 1), lambda i: spot(i, F.col("tj"), F.lit(1)))
@@ -331,7 +332,7 @@ def _across(placed: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     short = F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int"))  # half of the hash does here
     heads = rows.select("rep", "n", short.alias("shingles")).join(roots, "rep")
     hopeful = _met(of, heads, "n", "roots", "shingles").mapInArrow(_hopeful(percent), "root long, rep long").distinct()
-    of = of.join(stored(hopeful, "hopeful"), ["root", "rep"]).join(rows.groupBy("rep").agg(F.max("n").alias("n")), "rep")
+    of = of.join(stored(hopeful, "hopeful", of.count()), ["root", "rep"]).join(rows.groupBy("rep").agg(F.max("n").alias("n")), "rep")
     of = stored(of.select("root", "rep", "part", F.col("n").alias("size")), "blocks")
     out = stored(_met(of, texts.select("rep", "text"), "text").mapInArrow(_between(width, percent), "u long, v long"), "links")
     dropped(texts, rows)
@@ -378,6 +379,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     buckets = classes.select("rep", F.explode("bands").alias("key"))
     many = buckets.groupBy("key").count().where("count > 1").select("key")
     members = stored(buckets.join(many, "key"), "members")
+    n = members.count()
     placed = members.withColumn("part", F.col("rep"))
     tested = links = parts = None
     for turn in range(turns):
@@ -386,7 +388,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         mixed = mixed.where("low <> high").select("key", F.col("first.rep").alias("lead"), F.col("first.part").alias("lead_part"))
         stars = placed.join(mixed, "key").where("part <> lead_part")
         stars = stars.select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
-        stars = stored(stars if tested is None else stars.join(tested, ["u", "v"], "left_anti"), "stars")
+        stars = stored(stars if tested is None else stars.join(tested, ["u", "v"], "left_anti"), "stars", n)
         found = _verified(stars, docs, width, percent)
         tested = stars if tested is None else tested.union(stars)
         links = found if links is None else links.union(found)
@@ -394,9 +396,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         placed = members.join(small(parts, BROADCAST_IDS), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
     placed = placed.join(mixed, "key", "left_semi").select("rep", "part").distinct()
-    placed = stored(placed.join(classes.select("rep", "n").distinct(), "rep"), "mixed")
+    placed = stored(placed.join(classes.select("rep", "n").distinct(), "rep"), "mixed", n)
     links = links.union(_across(placed, docs, width, percent))
-    copies = stored(classes.where("rep <> last").select("digest", F.col("rep").alias("first")), "copies")
+    copies = stored(classes.where("rep <> last").select("digest", F.col("rep").alias("first")), "copies", classes.count())
     dropped(members, classes, placed, tested, parts)
     # rows of one doc_id with different texts form one document
     twice = signed.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
