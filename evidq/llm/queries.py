@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, fertility, lines, packing, sharding, substrings, toxicity, warc
 from .ann import nearest
-from .common import table
+from .common import dropped, stored, table
 from .minhash import near_duplicates
 
 
@@ -32,13 +32,9 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers, payloads = warc.archive(table(spark, sf_dir, "pages"))
-    return warc.records(headers, payloads).select(
-        "page_id",
-        F.length("payload").cast("long").alias("payload_bytes"),
-        F.sha1("payload").alias("payload_digest"),
-        "record_type",
-        "refers_to",
-    )
+    written = stored(warc.records(headers, payloads), "warc-records")
+    dropped(headers, payloads)
+    return warc.parsed(written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

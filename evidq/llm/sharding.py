@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SHARDS, SLOTS = 32, 4093
+#: Preferences that a shard tries before it looks through all it has left.
+_AHEAD = 31
 
 
 def _digits(text: Column, at: int) -> Column:
@@ -38,14 +40,23 @@ def lookup_table(spark: SparkSession, shards: Sequence[str], slots: int = SLOTS)
     skip = F.transform("names", lambda x: (_digits(x, 9) % (slots - 1) + 1).cast("int"))
     row = stored(row.select("names", offset.alias("offset"), skip.alias("skip")), "preferences")
 
-    def turn(owner: Column, t: Column) -> Column:
+    def turn(state: Column, t: Column) -> Column:
         shard = (t % len(names)).cast("int")
         place = lambda k: ((F.get("offset", shard) + k.cast("long") * F.get("skip", shard)) % slots).cast("int")
-        free = F.filter(F.sequence(F.lit(0), F.lit(slots - 1)), lambda k: F.get(owner, place(k)) == -1)
-        # the array of one slot binds it, so that it is found once a turn
-        return F.get(F.transform(F.array(place(F.get(free, F.lit(0)))), lambda s: F.transform(owner, lambda o, i: F.when(i == s, shard).otherwise(o))), F.lit(0))
+        start = F.get(state["next"], shard)
+        # the slots that the shard prefers next: a few, and all of them only if those are taken
+        free = lambda end: F.get(F.filter(F.sequence(start, end), lambda k: F.get(state["owner"], place(k)) == -1), F.lit(0))
+        taken = F.coalesce(free(F.least(start + _AHEAD, F.lit(slots - 1))), free(F.lit(slots - 1)))
 
-    owner = F.aggregate(F.sequence(F.lit(0), F.lit(slots - 1)), F.array_repeat(F.lit(-1), slots), turn)
+        def claimed(k: Column) -> Column:
+            put = lambda a, at, x, n: F.concat(F.slice(a, F.lit(1), at), F.array(x), F.slice(a, at + 2, F.lit(n)))
+            return F.struct(put(state["owner"], place(k), shard, slots).alias("owner"), put(state["next"], shard, F.least(k + 1, F.lit(slots - 1)), len(names)).alias("next"))
+
+        # the array of one claim binds it, so that it is found once a turn
+        return F.get(F.transform(F.array(taken), claimed), F.lit(0))
+
+    start = F.struct(F.array_repeat(F.lit(-1), slots).alias("owner"), F.array_repeat(F.lit(0), len(names)).alias("next"))
+    owner = F.aggregate(F.sequence(F.lit(0), F.lit(slots - 1)), start, turn, lambda s: s["owner"])
     filled = row.select("names", F.posexplode(owner).alias("slot", "owner"))
     return stored(filled.select("slot", F.get("names", F.col("owner")).alias("shard")), "lookup")
 

@@ -1,11 +1,13 @@
 """Vectors, shards, archives, severity and the pipeline; queries with SQL against DuckDB."""
 
+import base64
 import hashlib
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -64,17 +66,31 @@ def test_sharding(spark):
         sharding.lookup_table(spark, names, 30)
 
 
-def test_warc(spark):
+def test_warc(spark, tmp_path):
     big = "é" * 600
-    rows = [(1, "http://a/1", big, "x"), (2, None, big, "x"), (3, "http://a/ 3", None, "x"), (4, "u", "", "x"), (5, "u", "small", "x"), (6, "u", "small", "x")]
+    rows = [(1, "http://a/1", big, "x"), (2, None, big, "x"), (3, "http://a/ 3", None, "x"), (4, "u", "", "x"), (5, "u", "small\r\n\r\nWARC/1.1\r\n", "x"), (6, "ü", "small", "x")]
+    rows += [(7, "u", "same id", "x"), (7, "u", "same id", "x"), (None, "u", big, "x"), (None, "u", "lone " * 300, "x")]
     headers, payloads = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string, payload string"))
-    got = {r.page_id: r for r in warc.records(headers, payloads).collect()}
-    assert payloads.count() == 3
-    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("revisit", 2)} | {i: ("response", None) for i in range(2, 7)}
-    assert all(bytes(got[r[0]].payload) == (r[2] or "").encode() for r in rows)
-    assert bytes(got[2].record).endswith(big.encode() + b"\r\n\r\n") and b"Content-Length: 1200\r\n" in bytes(got[2].record)
+    assert payloads.count() == 6
+    whole = warc.records(headers, payloads)
+    warc.export(whole, str(tmp_path / "warc"), rows=3)
+    key = lambda r: (r.page_id is None, r.page_id or 0, r.payload_bytes)
+    out = [sorted(warc.parsed(f).collect(), key=key) for f in (whole, warc.load(spark, str(tmp_path / "warc")))]
+    assert out[0] == out[1] and len(out[0]) == len(rows)
+    got = {r.page_id: r for r in out[0][:8]}
+    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("revisit", 2)} | {i: ("response", None) for i in range(2, 8)}
+    assert [(r.record_type, r.refers_to) for r in out[0][8:]] == [("revisit", 2), ("response", None)]
+    for i, _, html, _ in rows[:7]:
+        data = (html or "").encode()
+        assert got[i].payload == (None if i == 1 else data) and (got[i].payload_bytes, got[i].payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
+    record = next(bytes(r.record) for r in whole.collect() if b"page:2>" in bytes(r.record) and b"response" in bytes(r.record))
+    digest = base64.b32encode(hashlib.sha1(big.encode()).digest())
+    assert record.endswith(b"Content-Length: 1200\r\n\r\n" + big.encode() + b"\r\n\r\n") and b"WARC-Payload-Digest: sha1:" + digest in record
+    damaged = payloads.withColumn("payload", F.concat("payload", F.lit(b"x")))
+    with pytest.raises(Exception, match="damaged"):
+        warc.records(headers, damaged).collect()
     empty = spark.createDataFrame([], "page_id long, url string, html string")
-    assert warc.records(*warc.archive(empty)).collect() == []
+    assert warc.parsed(warc.records(*warc.archive(empty))).collect() == []
 
 
 def test_toxicity_held_out(spark, sf_dir):
