@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .functions.frames import local_frame
 from .functions import rendering
 from .functions.vocabulary import FAMILIES, STREAM, rank
 from .operators import admission, assess, counters, history, inspection, links
@@ -102,7 +103,7 @@ class Engine:
         self.log.append(rows.where("status_code = 'ok'").drop("status_code", "fault"))
         found = seen.get
         kinds = "total long, accepted long, refused long, first_code string"
-        return self.spark.createDataFrame([tuple(found[c.split()[0]] for c in kinds.split(", "))], kinds)
+        return local_frame(self.spark, [tuple(found[c.split()[0]] for c in kinds.split(", "))], kinds)
 
     def evidence(self, on: Iterable[Link] | None = None) -> DataFrame:
         """Stored readings that pass the fence, with their status; those of other runs are recovered.
@@ -120,7 +121,7 @@ class Engine:
         """The links asked for, seen or not; else all that were seen."""
         if on is None:
             return self.registry().select("link_id", "link_generation")
-        return self.spark.createDataFrame(sorted(set(on)), "link_id string, link_generation long")
+        return local_frame(self.spark, sorted(set(on)), "link_id string, link_generation long")
 
     def views(self, on: Iterable[Link] | None = None, metrics: Iterable[Metric] | None = None) -> DataFrame:
         """Who measures what on the links: of the metrics asked for, else of all declared, up to the limit on either."""

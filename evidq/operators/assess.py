@@ -100,7 +100,7 @@ def effective_validity(declared: str) -> Column:
 def _cells(views: DataFrame, lane: int | None = None) -> DataFrame:
     """What is to be assessed: each declared metric of each link, on its lanes or, without any, as a whole."""
     measured = F.col("measured")
-    order = F.struct("source_id", "source_incarnation", "scoped")
+    order = F.struct("source_id", "source_incarnation", F.coalesce("scoped", F.lit(False)))
     out = views.groupBy(*METRIC).agg(
         F.coalesce(F.bool_or(~measured), F.lit(False)).alias("refused"),
         F.count_if(measured).cast("int").alias("sources_declared"),

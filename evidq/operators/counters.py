@@ -81,12 +81,17 @@ def steps(fed: DataFrame, key: list[str] | None = None) -> DataFrame:
 
 
 def statistics(stepped: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """Per stream: samples, how often each event came, gaps and missing samples."""
+    """Per stream: samples, how often each event came, gaps and missing samples.
+
+    The last four events come from ``machine_steps`` only, whose key leaves out incarnation and generation.
+    """
     key = key or STREAM
     n = lambda e: F.count_if(F.col("event") == e)
     return stepped.groupBy(*key).agg(
         F.count("*").alias("samples"), n("advance").alias("advances"), n("wrap").alias("wraps"), n("reset").alias("resets"),
         n("decrease-unproven").alias("unproven"), n("width-changed").alias("width_changes"),
+        n("source-reincarnated").alias("reincarnations"), n("link-generation-changed").alias("generation_changes"), n("out-of-range").alias("out_of_range"),
+        n("sequence-regressed").alias("regressions"),
         F.count_if(F.coalesce("spans_gap", F.lit(False))).alias("gaps"), F.sum("missing").alias("missing"),
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.frames import local_frame
 from ..functions.vocabulary import FAMILIES, rank
 from .catalog import Catalog, Refused, check_metric_id
 
@@ -80,7 +81,7 @@ def declarations(spark: SparkSession, rows: Iterable[Declaration], catalog: Cata
     """Checked declarations in the order given, which is their arrival."""
     catalog = catalog or Catalog()
     rows = [check_declaration(d, catalog).row() + (i,) for i, d in enumerate(rows)]
-    return spark.createDataFrame(rows, f"{SCHEMA}, ordinal long")
+    return local_frame(spark, rows, f"{SCHEMA}, ordinal long")
 
 
 def revisions(declared: DataFrame) -> DataFrame:
@@ -139,7 +140,7 @@ def requested(views: DataFrame, links: DataFrame, metrics: Iterable[tuple[str, s
     listed = set(unsupported)
     spark = views.sparkSession
     rows = [(f, n, (f, n) in listed) for f, n in asked]
-    wanted = F.broadcast(spark.createDataFrame(rows, "family string, name string, listed boolean"))
+    wanted = F.broadcast(local_frame(spark, rows, "family string, name string, listed boolean"))
     held = views.join(wanted.select("family", "name"), ["family", "name"], "left_semi").select(views.columns)
     on = links.select("link_id", "link_generation").join(views.select("link_id", "link_generation").distinct(), ["link_id", "link_generation"], "left_semi")
     # the metrics of one query are few

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import local_frame
 from ..functions.vocabulary import FAMILIES, UNIT_CLASSES, rank
 
 NAME = re.compile(r"[a-z0-9_-]+(\.[a-z0-9_-]+)*")
@@ -84,7 +85,7 @@ class Catalog:
     def frame(self, spark: SparkSession) -> DataFrame:
         """(family, name, unit, semantics, width, lanes); a few rows."""
         rows = [(m.family, m.name, m.unit, m.semantics, m.width, m.lanes) for m in self.metrics.values()]
-        return spark.createDataFrame(rows, "family string, name string, unit string, semantics string, width string, lanes boolean")
+        return local_frame(spark, rows, "family string, name string, unit string, semantics string, width string, lanes boolean")
 
     def scan(self, spark: SparkSession) -> DataFrame:
         """The metrics in their order: by family as declared, then by name."""

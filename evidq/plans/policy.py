@@ -9,6 +9,7 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.frames import local_frame
 from ..functions.text import number
 from ..functions.vocabulary import BASES, FAMILIES, SECOND, STATES
 from .catalog import Catalog, Refused, check_metric_id
@@ -99,7 +100,8 @@ class Policy:
             for r in self.rules
         ]
         d = "decimal(20,0)"
-        return spark.createDataFrame(
+        return local_frame(
+            spark,
             rows,
             "family string, name string, basis string, tolerance double, rule_validity_ns long, rule_gap_ns long, wrap boolean, "
             f"ceiling_32 {d}, floor_32 {d}, ceiling_64 {d}, floor_64 {d}",
@@ -107,11 +109,11 @@ class Policy:
 
     def band_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(r.family, r.name, b.id, b.lower, b.upper, b.state) for r in self.rules for b in r.bands]
-        return spark.createDataFrame(rows, "family string, name string, band_id string, lower double, upper double, band_state string")
+        return local_frame(spark, rows, "family string, name string, band_id string, lower double, upper double, band_state string")
 
     def freshness_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(f, self.family_validity(f)) for f in FAMILIES]
-        return spark.createDataFrame(rows, "family string, family_validity_ns long")
+        return local_frame(spark, rows, "family string, family_validity_ns long")
 
 
 DEFAULT = Policy()

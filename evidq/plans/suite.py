@@ -542,14 +542,6 @@ def as_of_report(spark, sf_dir):
     return out.select("link_id", "overall", "confidence", "evidence_considered", "evidence_fresh", "evidence_present")
 
 
-@query()
-def as_of_counter(spark, sf_dir):
-    """Continuity replayed over the ring by the whole machine."""
-    rows = _fed(adapters.counter_readings(_events(spark, sf_dir)))
-    out = assess.records_as_of(rows, WRAPS, _PAST, adapters.EPOCH)
-    return out.select("link_id", "source_id", "name", "sequence", "event", F.col("delta").cast("long").alias("delta"))
-
-
 # Inspection.
 @query(
     _plain(20.0, 6) + """ SELECT link_id, metric, CAST(declared AS INTEGER) AS declared_sources, CAST(coalesce(n_fresh, 0) AS INTEGER) AS fresh_sources,
@@ -681,9 +673,3 @@ def recovered_is_stale(spark, sf_dir):
 def evidence_rendering(spark, sf_dir):
     rows = adapters.counter_readings(_events(spark, sf_dir))
     return rows.select("ordinal", text.link().alias("link"), text.source().alias("source"), text.lane().alias("lane"), text.reading().alias("reading"))
-
-
-@query()
-def report_json(spark, sf_dir):
-    out = assess.roll_up_links(_assessed(spark, sf_dir, WIDE), WIDE)
-    return out.select("link_id", F.to_json(F.struct(*out.columns)).alias("report"))

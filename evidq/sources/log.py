@@ -7,6 +7,8 @@ compacted log is written beside the old one as the next version, and counts once
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.frames import local_frame
 from ..functions.vocabulary import STREAM
 from ..operators import fence, links, retention
 from ..plans.catalog import Refused
@@ -39,6 +42,17 @@ SCHEMAS = {
 }
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir. Only a session in one process (tests) may do without: it gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise Refused("unavailable", "spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="evidq-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def _bucket(link):
     return F.pmod(F.xxhash64(link), F.lit(BUCKETS)).cast("int")
 
@@ -83,7 +97,7 @@ class Log:
         """
         folder, schema = self._folder(kind), SCHEMAS.get(kind)
         if not self._exists(folder):
-            return self.spark.createDataFrame([], schema).drop("link_bucket")
+            return local_frame(self.spark, [], schema).drop("link_bucket")
         rows = self.spark.read.schema(schema).parquet(folder)
         if links is not None:
             names = sorted(set(links))
@@ -95,7 +109,7 @@ class Log:
 
     def append_document(self, kind: str, position: int, body: dict) -> None:
         """Add a policy or a declaration, which stand as JSON in the order of their positions."""
-        self.append(self.spark.createDataFrame([(position, json.dumps(body))], SCHEMAS[kind]).coalesce(1), kind)
+        self.append(local_frame(self.spark, [(position, json.dumps(body))], SCHEMAS[kind]).coalesce(1), kind)
 
     def documents(self, kind: str) -> list[dict]:
         """The policies or declarations in order; the limits document bounds how many there are."""
