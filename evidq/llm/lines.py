@@ -74,9 +74,6 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, min_
     return both.select(*((text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in kept), n_lines.alias("n_lines"), n_gone.alias("n_removed"))
 
 
-#: The query's SQL exempts lines of fewer characters.
-ORACLE_CHARS = 12
-
 #: Columns of ``op3_line_dedup``: doc_id, n_lines, n_removed, text_sha256.
 ORACLE = """
 WITH parts AS (
@@ -86,7 +83,7 @@ WITH parts AS (
 ), cut AS (
   SELECT doc_id, source, line, pos, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS body FROM numbered
 ), spread AS (
-  SELECT body, min({'d': doc_id, 'p': pos}) AS first FROM cut WHERE length(body) >= 12
+  SELECT body, min({'d': doc_id, 'p': pos}) AS first FROM cut WHERE length(body) >= 1
   GROUP BY body HAVING count(DISTINCT source) >= 10
 ), marked AS (
   SELECT cut.*, spread.body IS NOT NULL AND first <> {'d': doc_id, 'p': pos} AS gone FROM cut LEFT JOIN spread USING (body)

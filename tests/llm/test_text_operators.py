@@ -94,7 +94,7 @@ def test_lines(docs, rows):
             first[body] = min((i, j), first.get(body, (i, j)))
     expect = []
     for i, text, *_ in rows:
-        stay = [x for j, x, body in cut(text) if len(body) < 12 or len(sites[body]) < 10 or first[body] == (i, j)]
+        stay = [x for j, x, body in cut(text) if not body or len(sites[body]) < 10 or first[body] == (i, j)]
         expect.append((i, None if text is None else "\n".join(stay), len(cut(text)), len(cut(text)) - len(stay)))
     got = lines.dedup_lines(docs).collect()
     key = lambda r: (r[0], str(r[1]))
