@@ -1,20 +1,22 @@
 """Quality rules: plain counts, and how well a public tokeniser's vocabulary fits a text.
 
 For every text the number of characters per token, the share of byte-fallback tokens and the entropy of its tokens
-are measured with a public vocabulary. Bands of these per language (or script) and length decide; they come from
+are measured with public vocabularies and averaged over them. Bands of these per language (or script) and length decide; they come from
 quantiles over all texts of the language and class of lengths, widened by a multiple of the distance between the quartiles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import read_ranks
 from .common import sliced, small, stored
+from .packing import parted
 
 _CACHE = 200_000
 _SYMBOLS = "#*$%&|<>"
@@ -29,22 +31,45 @@ _SCHEMA = """doc_id long, band string, n_words long, word_chars long, n_symbols
  n_repeat_words long, n_tokens long, chars_per_token double, fallback_share double, token_entropy double"""
 
 
-class _Words(dict):
-    """Token ids of single words; emptied when it has grown too large."""
+class _Pieces(dict):
+    """A SentencePiece vocabulary: ids of single words as bytes, emptied when they are too many."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = self.model.get_piece_size()
-        self.is_byte = np.array([self.model.is_byte(i) for i in range(n)])
+        self.fallback = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= _CACHE:
             self.clear()
-        out = self[word] = self.model.encode(word)
+        out = self[word] = np.array(self.model.encode(word), np.int32).tobytes()
         return out
 
+    def ids(self, words: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32)
+
+
+class _Bytes:
+    """A byte-level vocabulary of ranks; it falls back where a lone byte of a longer character is a token."""
+
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
+
+        ranks = read_ranks(path)
+        self.model = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.fallback = np.zeros(max(ranks.values()) + 1, bool)
+        self.fallback[[i for t, i in ranks.items() if len(t) == 1 and t[0] >= 128]] = True
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        return np.concatenate([np.empty(0, np.uint32), *map(self.model.encode_to_numpy, parted(" ".join(words)))]).astype(np.int64)
+
+
+def measures(ids: np.ndarray, fallback: np.ndarray, chars: int) -> tuple[float, float, float]:
+    """Characters per token, share of fallback tokens and entropy in bits of a text's tokens, of which there is one at least."""
+    p = np.unique(ids, return_counts=True)[1] / len(ids)
+    return chars / len(ids), float(fallback[ids].mean()), float(-(p * np.log2(p)).sum())
+
 
 def repeated_words(words: list, width: int = 5) -> int:
     """Words in windows of ``width`` words that are found twice or more, the first place included."""
@@ -63,9 +88,9 @@ def repeated_words(words: list, width: int = 5) -> int:
     return int((np.cumsum(cover)[:-1] > 0).sum())
 
 
-def _measured(path: str):
+def _measured(paths: tuple[str, ...], pattern: str):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Words(path)
+        vocabularies = [_Bytes(p, pattern) if p.endswith(".tiktoken") else _Pieces(p) for p in paths]
         for batch in sliced(it):
             rows = []
             for text in batch.column("text").to_pylist():
@@ -78,12 +103,12 @@ def _measured(path: str):
                     if line.encode("utf-8", "surrogatepass").split():
                         again += line in seen
                         seen.add(line)
-                ids = np.fromiter((i for w in words for i in cache[w]), np.int64)
-                n, chars = len(ids), sum(map(len, words))
-                p = np.unique(ids, return_counts=True)[1] / max(n, 1)
-                measures = (chars / n, float(cache.is_byte[ids].mean()), float(-(p * np.log2(p)).sum())) if n else (None,) * 3
+                chars, found = sum(map(len, words)), [v.ids(words) for v in vocabularies]
+                n = len(found[0])
+                own = [measures(ids, v.fallback, chars) for ids, v in zip(found, vocabularies, strict=True) if len(ids)]
+                means = tuple(sum(x) / len(x) for x in zip(*own, strict=True)) if n else (None,) * 3
                 symbols = sum(map(text.count, _SYMBOLS))
-                rows.append((len(words), chars, symbols, again, repeated_words(raw), n, *measures))
+                rows.append((len(words), chars, symbols, again, repeated_words(raw), n, *means))
             columns = list(zip(*rows, strict=True)) or [()] * 9
             kinds = [pa.int64()] * 6 + [pa.float64()] * 3
             data = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
@@ -95,13 +120,17 @@ def _measured(path: str):
 _SCHEMA_NAMES = [c.split()[0] for c in _SCHEMA.split(",")]
 
 
-def measure(docs: DataFrame, vocabulary: str, band: str = "lang") -> DataFrame:
-    """Counts and tokeniser measures of every row of ``docs``; ``vocabulary`` is the path of a SentencePiece model."""
+def measure(docs: DataFrame, vocabularies: Sequence[str], pattern: str, band: str = "lang") -> DataFrame:
+    """Counts and tokeniser measures of every row of ``docs``.
+
+    ``vocabularies`` are paths of SentencePiece models or of .tiktoken files, whose split into words is ``pattern``.
+    Measures are means over the vocabularies; n_tokens is of the first.
+    """
     rows = docs.select("doc_id", F.coalesce(F.col(band).cast("string"), F.lit("")).alias("band"), "text")
-    return rows.mapInArrow(_measured(vocabulary), _SCHEMA)
+    return rows.mapInArrow(_measured(tuple(vocabularies), pattern), _SCHEMA)
 
 
-def quality(docs: DataFrame, vocabulary: str, band: str = "lang") -> DataFrame:
+def quality(docs: DataFrame, vocabularies: Sequence[str], pattern: str, band: str = "lang") -> DataFrame:
     """One row per row of ``docs``: doc_id, counts, base_failed, kept, and the measures that kept comes from.
 
     Words are runs of anything but ASCII white space, lines are compared whole. base_failed: fewer than 10 words, or
@@ -110,7 +139,7 @@ def quality(docs: DataFrame, vocabulary: str, band: str = "lang") -> DataFrame:
     A null text counts as empty and fails; a null language is a group of its own. Rows that repeat are judged each.
     Other columns are ignored; an empty table gives no rows.
     """
-    rows = stored(measure(docs, vocabulary, band), "measures")
+    rows = stored(measure(docs, vocabularies, pattern, band), "measures")
     length = F.greatest(F.floor(F.log2("n_tokens")), F.lit(SHORTEST - 1)).cast("int")
     rows = rows.withColumn("length", F.when(F.col("n_tokens") > 0, length))
     quartiles = lambda to: [F.percentile_approx(m, [0.25, 0.5, 0.75], 10000).alias(f"{to}_{m}") for m in MEASURES]

@@ -51,7 +51,8 @@ def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return fertility.quality(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    vocabularies = [public_tokenizers.path(x) for x in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")]
+    return fertility.quality(table(spark, sf_dir, "documents"), vocabularies, public_tokenizers.PATTERN)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on texts against brute force, on a fixture of nulls, empty, long, repeated and clashing rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -16,6 +17,7 @@ import corpus_pipeline
 from evidq.llm import bpe, fertility, lines, packing, substrings
 from evidq.llm.minhash import near_duplicates
 
+VOCABULARIES = [public_tokenizers.path(x) for x in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")]
 SCHEMA = "doc_id long, text string, lang string, source string, kept string, hash string"
 
 
@@ -159,11 +161,57 @@ def test_fertility(docs, rows):
         symbols = sum(c in "#*$%&|<>" for c in text or "")
         return len(w), sum(map(len, w)), symbols, again, len(covered), len(w) < 10 or 100 * len(covered) > 20 * len(w)
 
-    got = fertility.quality(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    got = fertility.quality(docs, VOCABULARIES, public_tokenizers.PATTERN).collect()
     assert sorted(tuple(r[:7]) for r in got) == sorted((r[0], *base(r[1])) for r in rows)
     assert not any(r.kept and r.base_failed for r in got) and any(r.kept for r in got)
 
 
+def test_verdict_is_that_of_the_bands(spark):
+    """kept against quartiles and measures computed plainly, over two languages of short and long texts."""
+    import sentencepiece
+    import tiktoken
+
+    ranks = bpe.read_ranks(VOCABULARIES[1])
+    byte = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    piece = sentencepiece.SentencePieceProcessor(model_file=VOCABULARIES[0])
+    lone = {i for t, i in ranks.items() if len(t) == 1 and t[0] >= 128}
+    rng = random.Random(9)
+    letters = {"en": "abcdefghij ", "xx": "日本語é аб"}
+    texts = [("".join(rng.choices(letters[x], k=rng.choice((90, 700)))) + " " + " ".join(map(str, range(10))), x) for _ in range(70) for x in letters]
+    texts += [("#$ %& *| <> " * 3 + "".join(rng.choices("#$%&*|<> ", k=n)), "en") for n in (60, 600)] + [(None, "en"), ("", "xx"), ("few words", None)]
+    docs = spark.createDataFrame([(i, t, x, "s", "x", "y") for i, (t, x) in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in fertility.quality(docs, VOCABULARIES, public_tokenizers.PATTERN).collect()}
+
+    def measured(text):
+        w = words(text)
+        chars, out = sum(map(len, w)), []
+        for ids, falls in (([i for x in w for i in piece.encode(x)], piece.is_byte), (byte.encode_ordinary(" ".join(w)), lone.__contains__)):
+            count = Counter(ids)
+            share = [c / len(ids) for c in count.values()]
+            out.append((chars / len(ids), sum(map(falls, ids)) / len(ids), -sum(p * math.log2(p) for p in share)))
+        return len([i for x in w for i in piece.encode(x)]), [sum(x) / 2 for x in zip(*out, strict=True)]
+
+    found = {i: (x or "", *measured(t)) for i, (t, x) in enumerate(texts) if words(t)}
+    groups = defaultdict(list)
+    for lang, n, values in found.values():
+        groups[lang, max(int(math.log2(n)), fertility.SHORTEST - 1)].append(values)
+        groups[lang].append(values)
+    quartile = lambda rows, m, p: sorted(v[m] for v in rows)[max(math.ceil(p * len(rows)), 1) - 1]
+    wrong = 0
+    for i, (lang, n, values) in found.items():
+        own = groups[lang, max(int(math.log2(n)), fertility.SHORTEST - 1)]
+        rows, factor = (own, 1.0) if len(own) >= fertility.LEAST_TEXTS else (groups[lang], 1 + fertility.SHORT / max(n, 1))
+        fine = True
+        for m in range(3):
+            low, middle, high = (quartile(rows, m, p) for p in (0.25, 0.5, 0.75))
+            width = max(fertility.SPREAD * (high - low), fertility.LEAST[m]) * factor
+            fine = fine and values[m] <= middle + width and (m == 1 or values[m] >= middle - width)
+            assert got[i][fertility.MEASURES[m]] == pytest.approx(values[m])
+        assert got[i].kept == (fine and not got[i].base_failed), i
+        wrong += not fine
+    assert wrong and not any(got[i].kept for i in got if i not in found)
+
+
 def test_bands_reject_at_any_length(spark):
     """Symbol salad and texts in byte tokens go, the short ones as well; plain texts of both lengths stay."""
     rng = random.Random(7)
@@ -173,7 +221,7 @@ def test_bands_reject_at_any_length(spark):
     fallback = [" ".join("".join(chr(rng.randrange(0x12000, 0x12300)) for _ in range(3)) for _ in range(n)) for n in (10, 11, 90)]
     texts = plain + salad + fallback
     few = spark.createDataFrame([(i, t, "en", "s", "x", "y") for i, t in enumerate(texts)], SCHEMA)
-    got = {r.doc_id: r for r in fertility.quality(few, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    got = {r.doc_id: r for r in fertility.quality(few, VOCABULARIES, public_tokenizers.PATTERN).collect()}
     assert not any(got[i].base_failed or got[i].kept for i in range(120, len(texts)))
     assert sum(got[i].kept for i in range(120)) >= 118 and min(got[i].n_tokens for i in range(120, 123)) < 50
 
@@ -233,7 +281,7 @@ def test_merged_rounds_lose_nothing(spark):
 
 @pytest.mark.parametrize("run", [
     lambda d: near_duplicates(d), lambda d: substrings.remove_repeats(d), lambda d: lines.dedup_lines(d),
-    lambda d: fertility.quality(d, public_tokenizers.path("piece_bpe_32k.model")),
+    lambda d: fertility.quality(d, VOCABULARIES, public_tokenizers.PATTERN),
     lambda d: packing.pack_documents(d, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN),
 ], ids=["minhash", "substrings", "lines", "fertility", "packing"])
 def test_empty_table(spark, run):
