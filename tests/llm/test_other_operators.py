@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import math
+import re
 
 import duckdb
 import numpy as np
@@ -13,6 +15,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from evidq.llm import sharding, toxicity, warc
 from evidq.llm.ann import nearest
+from evidq.llm.components import connected_components
 
 
 @pytest.mark.parametrize("name", ["op3_line_dedup", "op4_sharding", "op5_warc"])
@@ -105,6 +108,101 @@ def test_toxicity_held_out(spark, sf_dir):
     assert toxicity.reject_toxic(odd, model).columns == odd.columns
 
 
+def test_severity_by_hand(spark):
+    """Scores, thresholds and grades of long, empty, tied and repeated texts against the formula, word by word."""
+    import xxhash
+
+    rng = np.random.default_rng(4)
+    weights = np.zeros(1 << toxicity.BITS, np.float32)
+    weights[rng.integers(0, 1 << toxicity.BITS, 200_000)] = rng.normal(size=200_000)
+    model = toxicity.Model(weights, np.array([0.2, 0.9, 1.5]))
+    names = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(names, n)) for n in (1, 2, 5, 9, 40, 20_000)] + ["", None, "W1 w1, w1!", "w1", "ÄÖ ß 日本 w2"]
+    rows = [(i, x, "x") for i, x in enumerate(texts)] + [(3, texts[3], "x"), (None, texts[2], "x")]
+    got = toxicity.severity(spark.createDataFrame(rows, "doc_id long, text string, grade string"), model).collect()
+
+    def expect(text):
+        found = {w for w in re.findall(r"[^\W_]+", (text or "").lower())}
+        at = {(xxhash.xxh64(w.encode(), seed=42).intdigest() - (1 << 64) * (xxhash.xxh64(w.encode(), seed=42).intdigest() >> 63)) % (1 << toxicity.BITS) for w in found}
+        p = [1 / (1 + math.exp(t - sum(float(weights[i]) for i in at))) for t in model.thresholds]
+        return sum(p), p[0], sum(x > 0.5 for x in p)
+
+    assert len(got) == len(rows)
+    for r in got:
+        text = texts[2] if r.doc_id is None else texts[r.doc_id]
+        severity, p, grade = expect(text)
+        assert (r.expected_severity, r.p_toxic) == (pytest.approx(severity, abs=1e-6), pytest.approx(p, abs=1e-6)) and (r.grade, r.rejected) == (grade, grade >= 1)
+    assert {r.grade for r in got} >= {0, 3}
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert toxicity.severity(empty, model).collect() == [] and toxicity.reject_toxic(empty, model).collect() == []
+
+
+def test_fit_is_a_minimum():
+    """No weight or threshold of the fit can be moved for a better penalised likelihood, but for a little."""
+    rng = np.random.default_rng(5)
+    n = 600
+    rows, cols = np.repeat(np.arange(n), 3), rng.integers(0, 12, 3 * n)
+    truth = rng.normal(size=12) * 1.5
+    score = np.bincount(rows, truth[cols], n) + rng.logistic(size=n)
+    grades = (score[:, None] > np.quantile(score, [0.5, 0.75, 0.9])[None, :]).sum(1)
+    model = toxicity.fit(rows, cols, grades, l1=1e-3)
+    assert (np.diff(model.thresholds) > 0).all()
+
+    def loss(w, t):
+        s = np.bincount(rows, w[cols], n)
+        p = np.hstack([np.ones((n, 1)), 1 / (1 + np.exp(t[None, :] - s[:, None])), np.zeros((n, 1))])
+        return -np.log(np.maximum(p[np.arange(n), grades] - p[np.arange(n), grades + 1], 1e-12)).mean() + 1e-3 * np.abs(w).sum()
+
+    w, t = model.weights.astype(float), model.thresholds
+    best = loss(w, t)
+    for i in range(12):
+        for d in (-0.1, 0.1):
+            v = w.copy()
+            v[i] += d
+            assert loss(v, t) > best - 1e-3
+    for i in range(3):
+        for d in (-0.1, 0.1):
+            v = t.copy()
+            v[i] += d
+            assert loss(w, v) > best - 1e-3
+
+
+def test_components(spark):
+    """Chains, stars and random edges, loops and null ends, against union by hand."""
+    rng = np.random.default_rng(6)
+    edges = [(i, i + 1) for i in range(400)] + [(1000 + i, 1000) for i in range(1, 300)] + [tuple(map(int, x)) for x in rng.integers(2000, 2400, (300, 2))] + [(None, 1), (7, 7)]
+    root: dict = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    frame = spark.createDataFrame(edges, "u long, v long")
+    assert {r.node: r.component for r in connected_components(frame).collect()} == {i: find(i) for i in root}
+    assert connected_components(frame.limit(0)).collect() == []
+
+
+def test_stages_take_odd_rows(spark, sf_dir):
+    """Nulls, empty texts, repeated rows and further columns go through every stage; extra columns are left out."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long, row string, kept boolean, hash long"
+    rows = [(1, None, None, None, None, "x", True, 1), (2, "", "en", "s", 0, "x", None, 2), (None, "no id but a few words", "en", "s", 3, "x", None, 3)]
+    rows += [(4, "a plain text of a few words", "en", "s", 27, "x", None, 4)] * 2
+    for frame in (spark.createDataFrame(rows, columns), spark.createDataFrame([], columns)):
+        docs = frame
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, sf_dir)
+            assert docs.columns == corpus_pipeline._COLUMNS, name
+            docs = corpus_pipeline.stored(docs, name)
+            assert docs.count() == (len(rows) if frame.count() else 0)
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+        assert packed.count() == docs.count()
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, rows = docs.columns, docs.count()
