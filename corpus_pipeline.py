@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages: toxicity, line dedup, near-dedup, substring dedup and packing."""
+"""A corpus pipeline of five stages: toxicity, line dedup, near-dedup, substring dedup and packing.
+
+Every stage takes any columns and, but for the last, returns those of documents; others are left out. Null texts stay
+null and empty ones empty; rows with a null doc_id are never copies of others and stay; rows that repeat are treated
+alike, and an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
