@@ -145,17 +145,18 @@ _RATE_BANDS = """rb AS (
 @query(
     f"""WITH {_CLEAN_STEPS}, {_RATE_BANDS}, cells AS (
   SELECT link_id, metric, count(*) AS with_evidence, count(*) FILTER (rate IS NOT NULL AND admissible) AS candidates,
-    arg_min(rate, source_id) FILTER (rate IS NOT NULL AND admissible) AS value, min(greatest({AS_OF} - ns, 0)) AS age FROM judged GROUP BY 1, 2
+    arg_min(rate, source_id) FILTER (rate IS NOT NULL AND admissible) AS value,
+    max(rate) FILTER (rate IS NOT NULL AND admissible) - min(rate) FILTER (rate IS NOT NULL AND admissible) AS spread, min(greatest({AS_OF} - ns, 0)) AS age FROM judged GROUP BY 1, 2
 ), banded AS (
-  SELECT cells.*, CASE WHEN candidates = 0 THEN 'incomplete' WHEN a IS NULL THEN 'unknown' WHEN value < a THEN 'healthy' WHEN value < b THEN 'marginal'
+  SELECT cells.*, CASE WHEN candidates = 0 THEN 'incomplete' WHEN a IS NULL AND candidates >= 2 AND spread > 0 THEN 'conflicting' WHEN a IS NULL THEN 'unknown' WHEN value < a THEN 'healthy' WHEN value < b THEN 'marginal'
     WHEN value < c THEN 'degraded' ELSE 'severe' END AS state FROM cells LEFT JOIN rb USING (metric)
 )
-SELECT link_id, metric, state, CASE WHEN state = 'unknown' THEN 'none' WHEN state = 'incomplete' THEN 'low' WHEN candidates >= 2 THEN 'high'
-    WHEN 2 * age <= {2000 * HOUR} THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN state NOT IN ('incomplete', 'unknown') THEN value END AS rate_per_second,
+SELECT link_id, metric, state, CASE WHEN state = 'unknown' THEN 'none' WHEN state IN ('incomplete', 'conflicting') THEN 'low' WHEN candidates >= 2 THEN 'high'
+    WHEN 2 * age <= {2000 * HOUR} THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN state NOT IN ('incomplete', 'unknown', 'conflicting') THEN value END AS rate_per_second,
   CAST(with_evidence AS INTEGER) AS sources_with_evidence, CAST(with_evidence AS INTEGER) AS sources_fresh FROM banded"""
 )
 def assess_counters(spark, sf_dir):
-    """Counters of all links: rates of the newest steps, banded."""
+    """Counters of all links: rates of the newest steps, banded; octets have no rule, and so no tolerance either."""
     policy = replace(WRAPS, validity_ns=2000 * HOUR).with_rules(tolerance=1e30)
     rows = _fed(adapters.counter_readings(_events(spark, sf_dir)))
     each = [capability.Declaration(f"src-{i}", tuple(capability.Measures(f, n, u, "counter", "u32") for f, n, u in _COUNTER_NAMES)) for i in range(3)]
