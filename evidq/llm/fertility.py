@@ -7,6 +7,7 @@ quantiles over all texts of the language and class of lengths, widened by a mult
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,7 +20,7 @@ from .common import sliced, small, stored
 from .packing import parted
 
 _CACHE = 200_000
-_SYMBOLS = "#*$%&|<>"
+_SYMBOLS, _BLANKS = "#*$%&|<>", " \t\n\r\x0b\x0c"
 MEASURES = ("chars_per_token", "fallback_share", "token_entropy")
 #: Half-widths of the bands, in distances between the quartiles; the number of tokens at which bands of a whole language
 #: are twice as wide as for very long texts, as short texts vary more; and the least half-width of each measure.
@@ -40,13 +41,16 @@ class _Pieces(dict):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.fallback = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= _CACHE:
+    def meet(self, texts: list[list[bytes]]) -> None:
+        """Encode the words of some texts that aren't known, all at once."""
+        words = set().union(*texts)
+        if len(self) + len(words) > _CACHE:
             self.clear()
-        out = self[word] = np.array(self.model.encode(word), np.int32).tobytes()
-        return out
+        new = list(words - self.keys())
+        ids = self.model.encode([w.decode("utf-8", "surrogatepass") for w in new], num_threads=1)
+        self.update(zip(new, (array("i", x).tobytes() for x in ids), strict=True))
 
-    def ids(self, words: list[str]) -> np.ndarray:
+    def ids(self, words: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32)
 
 
@@ -61,8 +65,12 @@ class _Bytes:
         self.fallback = np.zeros(max(ranks.values()) + 1, bool)
         self.fallback[[i for t, i in ranks.items() if len(t) == 1 and t[0] >= 128]] = True
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        return np.concatenate([np.empty(0, np.uint32), *map(self.model.encode_to_numpy, parted(" ".join(words)))]).astype(np.int64)
+    def meet(self, texts: list[list[bytes]]) -> None:
+        pass
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        text = b" ".join(words).decode("utf-8", "surrogatepass")
+        return np.concatenate([np.empty(0, np.uint32), *map(self.model.encode_to_numpy, parted(text))])
 
 
 def measures(ids: np.ndarray, fallback: np.ndarray, chars: int) -> tuple[float, float, float]:
@@ -71,20 +79,31 @@ def measures(ids: np.ndarray, fallback: np.ndarray, chars: int) -> tuple[float,
     return chars / len(ids), float(fallback[ids].mean()), float(-(p * np.log2(p)).sum())
 
 
+def _numbered(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the distinct pairs (a, b), b below n, and how often each comes."""
+    _, at, count = np.unique(a * np.int64(n) + b, return_inverse=True, return_counts=True)
+    return at, count
+
+
 def repeated_words(words: list, width: int = 5) -> int:
     """Words in windows of ``width`` words that are found twice or more, the first place included."""
-    n = len(words) - width + 1
-    if n < 2:
+    if len(words) <= width:
         return 0
-    number: dict = {}
-    code = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
-    at = code[:n].copy()
-    for j in range(1, width):
-        _, at = np.unique(at * np.int64(len(number)) + code[j : j + n], return_inverse=True)
-    again = np.bincount(at)[at] > 1
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    code = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    at, n, size = code, len(number), 1
+    while size < width:
+        # runs of equal length are joined as long as they fit, then words are added one by one
+        more, base, step = (at, n, size) if 2 * size <= width else (code, len(number), 1)
+        size += step
+        at, count = _numbered(at[: len(words) - size + 1], more[size - step :][: len(words) - size + 1], base)
+        if len(count) == len(at):
+            return 0
+        n = len(count)
     cover = np.zeros(len(words) + 1, np.int64)
-    np.add.at(cover, np.flatnonzero(again), 1)
-    np.add.at(cover, np.flatnonzero(again) + width, -1)
+    again = np.flatnonzero(count[at] > 1)
+    np.add.at(cover, again, 1)
+    np.add.at(cover, again + width, -1)
     return int((np.cumsum(cover)[:-1] > 0).sum())
 
 
@@ -93,22 +112,23 @@ def _measured(paths: tuple[str, ...], pattern: str):
         vocabularies = [_Bytes(p, pattern) if p.endswith(".tiktoken") else _Pieces(p) for p in paths]
         for batch in sliced(it):
             rows = []
-            for text in batch.column("text").to_pylist():
-                text = text or ""
-                raw = text.encode("utf-8", "surrogatepass").split()
-                words = [w.decode("utf-8", "surrogatepass") for w in raw]
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            split = [text.encode("utf-8", "surrogatepass").split() for text in texts]
+            for v in vocabularies:
+                v.meet(split)
+            for text, words in zip(texts, split, strict=True):
                 seen: set = set()
                 again = 0
                 for line in text.split("\n"):
                     if line.encode("utf-8", "surrogatepass").split():
                         again += line in seen
                         seen.add(line)
-                chars, found = sum(map(len, words)), [v.ids(words) for v in vocabularies]
+                chars, found = len(text) - sum(map(text.count, _BLANKS)), [v.ids(words) for v in vocabularies]
                 n = len(found[0])
                 own = [measures(ids, v.fallback, chars) for ids, v in zip(found, vocabularies, strict=True) if len(ids)]
                 means = tuple(sum(x) / len(x) for x in zip(*own, strict=True)) if n else (None,) * 3
                 symbols = sum(map(text.count, _SYMBOLS))
-                rows.append((len(words), chars, symbols, again, repeated_words(raw), n, *means))
+                rows.append((len(words), chars, symbols, again, repeated_words(words), n, *means))
             columns = list(zip(*rows, strict=True)) or [()] * 9
             kinds = [pa.int64()] * 6 + [pa.float64()] * 3
             data = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
