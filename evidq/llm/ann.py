@@ -185,10 +185,10 @@ def nearest(
     few = good.dropDuplicates(["vec_id", "embedding"]).withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1)
     index = few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     index = stored(index.select(F.col("ids")[0].alias("cls"), "ids", "embedding"), "vectors")
-    rows = index.orderBy(F.xxhash64("cls"), "cls").limit(sample).select("embedding").toPandas()
-    if not len(rows):
+    rows = index.orderBy(F.xxhash64("cls"), "cls").limit(sample).select("embedding").toArrow()
+    if not rows.num_rows:
         return spark.createDataFrame([], schema)
-    x = np.array(rows["embedding"].tolist(), np.float32)
+    x = rows.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(rows.num_rows, -1)
     books = spark.sparkContext.broadcast(fit(x, stages, min(codewords, 256), beam, rounds, seed))
     codes = stored(index.select("cls", "embedding").mapInArrow(_encoded(books, beam), "cls array<long>, codes binary, scale binary"), "codes")
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
