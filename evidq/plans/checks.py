@@ -244,6 +244,14 @@ def unseen_link_report(spark, sf_dir):
     return out.select("link_id", "overall", "confidence", "evidence_considered", "link_registered")
 
 
+@query((_plain(1e9, 2000) + _report_sql(True)).replace("'link-' || (user_id % 8)", "'link-' || user_id"))
+def link_report_users(spark, sf_dir):
+    """Reports with a link for every user, as many as the table has."""
+    rows = _fed(adapters.gauges(_events(spark, sf_dir), links=None))
+    out = assess.roll_up_links(assess.assess(assess.current_records(rows, WIDE), _views(spark, rows), WIDE, AS_OF, adapters.EPOCH), WIDE)
+    return out.select("link_id", "overall", "confidence", "evidence_considered", "evidence_fresh", "evidence_present")
+
+
 @query(
     f"""WITH {_OBS}, {_GAUGES}, l AS (SELECT DISTINCT link_id FROM g)
 SELECT link_id, 'src-0' AS source_id, false AS scoped, 5 AS validity_ns, CAST(CASE WHEN link_id = 'link-1' THEN 2 ELSE 1 END AS BIGINT) AS declarations FROM l

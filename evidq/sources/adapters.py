@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.vocabulary import SECOND
 
 EPOCH = 0x1234
-#: Event type to metric: family, name, unit, semantics.
+# Event type to metric: family, name, unit, semantics.
 METRICS = {
     "click": ("signal-power", "rx.level", "dBm", "gauge"),
     "view": ("signal-ratio", "snr", "dB", "gauge"),
@@ -57,9 +57,10 @@ def gauge(column: str = "value") -> Column:
     return F.when(F.col("event_type") == "click", -F.col(column) / 10).otherwise(F.col(column))
 
 
-def gauges(events: DataFrame, lanes: int = 0, authorities: int = 1) -> DataFrame:
-    """Gauge readings of all events but errors; optionally on lanes, and with authorities above 1."""
-    extra = {"gauge_value": gauge(), "authority": (1 + F.col("user_id") % authorities).cast("long")}
+def gauges(events: DataFrame, lanes: int = 0, authorities: int = 1, links: int | None = 8) -> DataFrame:
+    """Gauge readings of all events but errors; optionally on lanes, with authorities above 1, on a link per user."""
+    number = F.col("user_id") if links is None else F.col("user_id") % links
+    extra = {"link_id": F.concat(F.lit("link-"), number), "gauge_value": gauge(), "authority": (1 + F.col("user_id") % authorities).cast("long")}
     if lanes:
         extra["lane"] = (F.col("user_id") % lanes).cast("int")
     return _observations(events.where("event_type <> 'error'"), **extra)
@@ -107,6 +108,7 @@ def dirty_arrivals(events: DataFrame) -> DataFrame:
 
 def generated(spark: SparkSession, n: int, link: str = "link-a", source: str = "src-a", start_ns: int = 1_700_000_000 * SECOND) -> DataFrame:
     """``n`` readings a second apart that run through five fixed levels."""
+    # fixed values: the five levels
     levels = F.array(*(F.lit(x) for x in (-6.0, -6.75, -7.5, -8.25, -9.0)))
     rows = spark.range(n).select(F.col("id").alias("event_id"), F.lit("click").alias("event_type"), F.lit(0).cast("long").alias("user_id"), F.lit(0).cast("timestamp").alias("ts"))
     at = F.lit(start_ns) + F.col("event_id") * SECOND
