@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evidq.llm import bpe, fertility, lines, packing, substrings
+from evidq.llm import bpe, fertility, lines, minhash, packing, substrings
 from evidq.llm.minhash import near_duplicates
 
 VOCABULARIES = [public_tokenizers.path(x) for x in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")]
@@ -70,6 +70,39 @@ def test_minhash(docs, rows):
     assert sorted(tuple(r[:4]) for r in got) == expect
 
 
+@pytest.mark.parametrize("block,shingles", [(512, 1 << 19), (20, 1 << 19), (512, 900), (3, 300)])
+def test_minhash_of_near_misses(spark, monkeypatch, block, shingles):
+    """Families whose members are near the threshold, in one sub-block and in many: the links are those of brute force."""
+    monkeypatch.setattr(minhash, "_BLOCK", block)
+    monkeypatch.setattr(minhash, "_SHINGLES", shingles)
+    rng = random.Random(block)
+    texts = []
+    for n in (40, 90):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        for _ in range(45):
+            own = list(base)
+            for at in rng.sample(range(n), rng.randint(0, n // 9)):
+                own[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    texts += texts[:5]
+    sets = [set(zip(t.split(), t.split()[1:], strict=False)) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    links = 0
+    for i, j in combinations(range(len(texts)), 2):
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            links += 1
+            x, y = sorted((find(i), find(j)))
+            root[y] = x
+    few = spark.createDataFrame([(i, t, "en", "s", "x", "y") for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    got = {r.doc_id: r.component_id for r in near_duplicates(few, width=2, percent=80).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert 100 < links < 2000 and len(set(got.values())) > 5
+
+
 def test_substrings(docs, rows):
     first = {}
     for i, text, *_ in rows:
