@@ -192,3 +192,15 @@ def reading() -> Column:
         F.when(F.coalesce("reset_declared", F.lit(False)), " reset-declared").otherwise(""),
     )
     return F.when(F.col("semantics") == "gauge", gauge).when(F.col("semantics") == "counter", counter).otherwise("no-reading")
+
+
+def record_line() -> Column:
+    """A stored reading as one line: who, what, and named fields in a fixed order."""
+    clock = F.concat(F.col("observed_ns").cast("string"), F.when(F.col("observed_synchronized"), "s").otherwise("u"))
+    # fixed values: the names of the fields and their order
+    fields = {
+        "lane": lane(), "value": reading(), "observed": clock, "received": F.col("received_wall_ns"), "origin": F.col("origin"),
+        "class": F.col("evidence_class"), "authority": F.col("authority"),
+    }
+    named = (F.concat(F.lit(f"{name}="), value.cast("string")) for name, value in fields.items())
+    return F.concat_ws(" ", F.lit("evidence"), link(), source(), F.concat(F.lit("seq="), F.col("sequence").cast("string")), metric_id(), *named)

@@ -350,6 +350,16 @@ def link_hashes(spark, sf_dir):
     return rows.select("link", text.fnv1a64("link").alias("fnv1a64"), text.crc32c("link").alias("crc32c"))
 
 
+@query(
+    f"""WITH {_COUNTERS} SELECT event_id AS ordinal, 'evidence link-' || link_no || '/gen1 src-' || src_no || '@1 seq=' || seq || ' ' || {_COUNTER_METRIC} || ' lane=aggregate value=' || cv ||
+  CASE WHEN event_type = 'error' THEN ' bytes' ELSE ' count' END || ' (u32)' || CASE WHEN rst THEN ' reset-declared' ELSE '' END || ' observed=' || ns || 's received=' || ns ||
+  ' origin=live class=real authority=1' AS line FROM counts"""
+)
+def evidence_lines(spark, sf_dir):
+    """Stored readings as lines."""
+    return adapters.counter_readings(_events(spark, sf_dir)).select("ordinal", text.record_line().alias("line"))
+
+
 # The stream of arrivals, in three micro-batches.
 @query(
     _STEPS_DIRTY + f""" SELECT CAST(ord AS BIGINT) AS ordinal, event, CAST(delta AS BIGINT) AS delta, CAST(elapsed AS BIGINT) AS elapsed_ns,
